@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantcast.catalog.registry import query, r6, sql_r6
+from plantcast.catalog.registry import query, rounded, sql_rounded
 from plantcast.catalog.views import flag, with_views
 from plantcast.functions.columns import key_hash
 from plantcast.functions.features import PEAK_WEEKS, lot_ratio_expressions, planning_expressions
@@ -22,17 +22,17 @@ from plantcast.sources.schemas import KEYS, SCRAP_FEATURES
 _PRODUCTION = ("avg_start_delay", "avg_finish_delay", "avg_overload_prob", "avg_throughput_dev")
 
 
-@query("agg_production", with_views(f"SELECT week_no, material_no, scenario, n_orders, {sql_r6(_PRODUCTION)} FROM production_grain", "production_grain"))
+@query("agg_production", with_views(f"SELECT week_no, material_no, scenario, n_orders, {sql_rounded(_PRODUCTION)} FROM production_grain", "production_grain"))
 def agg_production(t):
-    return agg.production_by_grain(t.production_orders()).select(*KEYS, "n_orders", *[r6(c) for c in _PRODUCTION])
+    return agg.production_by_grain(t.production_orders()).select(*KEYS, "n_orders", *[rounded(c) for c in _PRODUCTION])
 
 
 _SCRAP = ("avg_defect_rate", "avg_scrap_rate", "avg_scrap_risk", "total_scrap_cost")
 
 
-@query("agg_scrap", with_views(f"SELECT week_no, material_no, scenario, {sql_r6(_SCRAP)} FROM scrap_grain", "scrap_grain"))
+@query("agg_scrap", with_views(f"SELECT week_no, material_no, scenario, {sql_rounded(_SCRAP)} FROM scrap_grain", "scrap_grain"))
 def agg_scrap(t):
-    return agg.scrap_by_grain(t.scrap_quality()).select(*KEYS, *[r6(c) for c in _SCRAP])
+    return agg.scrap_by_grain(t.scrap_quality()).select(*KEYS, *[rounded(c) for c in _SCRAP])
 
 
 @query("agg_customers", with_views("SELECT * FROM customer_grain", "customer_grain"))
@@ -43,9 +43,9 @@ def agg_customers(t):
 _WC = ("avg_wc_utilization", "avg_wc_downtime", "avg_wc_delay", "avg_wc_overload", "max_wc_utilization")
 
 
-@query("agg_work_centres", with_views(f"SELECT week_no, scenario, {sql_r6(_WC)} FROM work_centre_week", "work_centre_week"))
+@query("agg_work_centres", with_views(f"SELECT week_no, scenario, {sql_rounded(_WC)} FROM work_centre_week", "work_centre_week"))
 def agg_work_centres(t):
-    return agg.work_centres_by_week(t.work_centre_utilization()).select("week_no", "scenario", *[r6(c) for c in _WC])
+    return agg.work_centres_by_week(t.work_centre_utilization()).select("week_no", "scenario", *[rounded(c) for c in _WC])
 
 
 @query("agg_conditional_counts", with_views("""
@@ -64,48 +64,48 @@ def agg_conditional_counts(t):
 
 
 @query("agg_means_and_spread", with_views("""
-  SELECT round(avg(inspected_qty), 6) AS mean_qty, round(stddev_samp(inspected_qty), 6) AS std_qty, round(avg(scrap_rate_pct), 6) AS mean_rate,
+  SELECT round(avg(inspected_qty), 8) AS mean_qty, round(stddev_samp(inspected_qty), 8) AS std_qty, round(avg(scrap_rate_pct), 8) AS mean_rate,
     min(inspection_date) AS first_date, max(inspection_date) AS last_date, count(DISTINCT machine_id) AS n_machines, count(DISTINCT material_no) AS n_materials
   FROM scrap_quality""", "scrap_quality"))
 def agg_means_and_spread(t):
     return t.scrap_quality().agg(
-        F.round(F.avg("inspected_qty"), 6).alias("mean_qty"), F.round(F.stddev_samp("inspected_qty"), 6).alias("std_qty"),
-        F.round(F.avg("scrap_rate_pct"), 6).alias("mean_rate"), F.min("inspection_date").alias("first_date"),
+        F.round(F.avg("inspected_qty"), 8).alias("mean_qty"), F.round(F.stddev_samp("inspected_qty"), 8).alias("std_qty"),
+        F.round(F.avg("scrap_rate_pct"), 8).alias("mean_rate"), F.min("inspection_date").alias("first_date"),
         F.max("inspection_date").alias("last_date"), F.count_distinct("machine_id").alias("n_machines"),
         F.count_distinct("material_no").alias("n_materials"),
     )
 
 
 def _describe_sql(source: str, column: str) -> str:
-    return f"""SELECT '{column}' AS column_name, count({column}) AS n, round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS std,
-      round(min({column})::DOUBLE, 6) AS min, round(quantile_cont({column}::DOUBLE, 25e-2), 6) AS q25, round(quantile_cont({column}::DOUBLE, 5e-1), 6) AS q50,
-      round(quantile_cont({column}::DOUBLE, 75e-2), 6) AS q75, round(max({column})::DOUBLE, 6) AS max FROM {source}"""
+    return f"""SELECT '{column}' AS column_name, count({column}) AS n, round(avg({column}), 8) AS mean, round(stddev_samp({column}), 8) AS std,
+      round(min({column})::DOUBLE, 8) AS min, round(quantile_cont({column}::DOUBLE, 25e-2), 8) AS q25, round(quantile_cont({column}::DOUBLE, 5e-1), 8) AS q50,
+      round(quantile_cont({column}::DOUBLE, 75e-2), 8) AS q75, round(max({column})::DOUBLE, 8) AS max FROM {source}"""
 
 
 @query("agg_describe", with_views(" UNION ALL ".join(_describe_sql("scrap_quality", c) for c in ("scrap_risk_probability", "inspected_qty", "defect_rate_pct")), "scrap_quality"))
 def agg_describe(t):
     out = agg.describe(t.scrap_quality(), ["scrap_risk_probability", "inspected_qty", "defect_rate_pct"])
-    return out.select("column_name", "n", *[r6(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    return out.select("column_name", "n", *[rounded(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 @query("agg_describe_gap", with_views(_describe_sql("features", "demand_gap"), "features"))
 def agg_describe_gap(t):
     df = demand.with_replenishment(t.demand_forecast(), t.material_replenishment())
     gap = df.select((F.col("forecast_qty") - (F.col("stock_level") + F.col("replenishment_order_qty"))).alias("demand_gap"))
-    return agg.describe(gap, ["demand_gap"]).select("column_name", "n", *[r6(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    return agg.describe(gap, ["demand_gap"]).select("column_name", "n", *[rounded(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 @query("agg_class_distribution", with_views(f"""
-  SELECT target, count(*) AS n, round(count(*) / (SELECT count(*) FROM scrap_quality), 6) AS share
+  SELECT target, count(*) AS n, round(count(*) / (SELECT count(*) FROM scrap_quality), 8) AS share
   FROM (SELECT {flag('scrap_risk_probability >= 4e-1')} AS target FROM scrap_quality) GROUP BY 1""", "scrap_quality"))
 def agg_class_distribution(t):
     labelled = t.scrap_quality().select((F.col("scrap_risk_probability") >= 0.4).cast("int").alias("target"))
-    return agg.class_distribution(labelled, "target").select("target", "n", r6("share"))
+    return agg.class_distribution(labelled, "target").select("target", "n", rounded("share"))
 
 
-@query("agg_median_by_group", with_views("SELECT defect_type, round(median(scrap_rate_pct), 6) AS median_rate FROM scrap_quality GROUP BY 1", "scrap_quality"))
+@query("agg_median_by_group", with_views("SELECT defect_type, round(median(scrap_rate_pct), 8) AS median_rate FROM scrap_quality GROUP BY 1", "scrap_quality"))
 def agg_median_by_group(t):
-    return quantiles(t.scrap_quality(), "scrap_rate_pct", {"median_rate": 0.5}, ["defect_type"]).select("defect_type", r6("median_rate"))
+    return quantiles(t.scrap_quality(), "scrap_rate_pct", {"median_rate": 0.5}, ["defect_type"]).select("defect_type", rounded("median_rate"))
 
 
 @query("agg_confusion", with_views("SELECT actual_shortage_flag, pred_shortage_flag, count(*) AS n FROM predictions GROUP BY 1, 2", "predictions"))
@@ -123,33 +123,33 @@ def agg_confusion_matrix(t):
 # Windows.
 
 
-@query("win_rolling_machine", with_views("SELECT inspection_lot, round(rolling_scrap_4w_machine_id, 6) AS rolling_scrap_4w_machine_id FROM lot_load", "lot_load"))
+@query("win_rolling_machine", with_views("SELECT inspection_lot, round(rolling_scrap_4w_machine_id, 8) AS rolling_scrap_4w_machine_id FROM lot_load", "lot_load"))
 def win_rolling_machine(t):
     lots = t.scrap_quality().select("inspection_lot", "machine_id", "inspection_date", "scrap_rate_pct")
     out = rolling_mean(lots, "scrap_rate_pct", "machine_id", "inspection_date", "inspection_lot", 4, "rolling_scrap_4w_machine_id")
-    return out.select("inspection_lot", r6("rolling_scrap_4w_machine_id"))
+    return out.select("inspection_lot", rounded("rolling_scrap_4w_machine_id"))
 
 
-@query("win_rolling_shift", with_views("SELECT inspection_lot, round(rolling_scrap_4w_shift, 6) AS rolling_scrap_4w_shift FROM lot_load", "lot_load"))
+@query("win_rolling_shift", with_views("SELECT inspection_lot, round(rolling_scrap_4w_shift, 8) AS rolling_scrap_4w_shift FROM lot_load", "lot_load"))
 def win_rolling_shift(t):
     lots = t.scrap_quality().select("inspection_lot", "shift", "inspection_date", "scrap_rate_pct")
     out = rolling_mean(lots, "scrap_rate_pct", "shift", "inspection_date", "inspection_lot", 4, "rolling_scrap_4w_shift")
-    return out.select("inspection_lot", r6("rolling_scrap_4w_shift"))
+    return out.select("inspection_lot", rounded("rolling_scrap_4w_shift"))
 
 
 _LOAD = ("wc_utilization", "wc_overload_prob", "order_overload_prob", "throughput_deviation_pct")
 
 
-@query("win_lot_load", with_views(f"SELECT inspection_lot, {sql_r6(_LOAD)} FROM lot_load", "lot_load"))
+@query("win_lot_load", with_views(f"SELECT inspection_lot, {sql_rounded(_LOAD)} FROM lot_load", "lot_load"))
 def win_lot_load(t):
     """Group shares, standard scores and deviations from the machine mean."""
-    return scrap.load_features(t.scrap_quality()).select("inspection_lot", *[r6(c) for c in _LOAD])
+    return scrap.load_features(t.scrap_quality()).select("inspection_lot", *[rounded(c) for c in _LOAD])
 
 
 @query("win_weekly_lags", with_views("""
   SELECT week_no, material_no, lag(stock_level, 1) OVER w AS stock_level_lag1, lag(stock_level, 2) OVER w AS stock_level_lag2,
     lag(shortage_probability_replen, 1) OVER w AS shortage_prob_lag1,
-    round(avg(stock_level) OVER (w ROWS 2 PRECEDING), 6) AS stock_roll3, round(avg(forecast_qty) OVER (w ROWS 2 PRECEDING), 6) AS demand_roll3
+    round(avg(stock_level) OVER (w ROWS 2 PRECEDING), 8) AS stock_roll3, round(avg(forecast_qty) OVER (w ROWS 2 PRECEDING), 8) AS demand_roll3
   FROM (SELECT f.week_no, f.material_no, forecast_qty, stock_level, r.shortage_probability AS shortage_probability_replen
     FROM demand_forecast f LEFT JOIN material_replenishment r USING (week_no, material_no, scenario))
   WINDOW w AS (PARTITION BY material_no ORDER BY week_no)""", "demand_forecast", "material_replenishment"))
@@ -160,7 +160,7 @@ def win_weekly_lags(t):
     df = weekly_lags(df, "material_no", "week_no", {
         "stock_level_lag1": ("stock_level", 1), "stock_level_lag2": ("stock_level", 2), "shortage_prob_lag1": ("shortage_probability_replen", 1)})
     df = weekly_rolling(df, "material_no", "week_no", 3, {"stock_roll3": "stock_level", "demand_roll3": "forecast_qty"})
-    return df.select("week_no", "material_no", "stock_level_lag1", "stock_level_lag2", "shortage_prob_lag1", r6("stock_roll3"), r6("demand_roll3"))
+    return df.select("week_no", "material_no", "stock_level_lag1", "stock_level_lag2", "shortage_prob_lag1", rounded("stock_roll3"), rounded("demand_roll3"))
 
 
 @query("win_latest_per_key", with_views("""
@@ -179,10 +179,10 @@ def top_sorted_lots(t):
 
 
 @query("top_high_risk_ten", with_views("""
-  SELECT row_id, week_no, material_no, round(pred_shortage_confidence, 6) AS pred_shortage_confidence, pred_order_qty FROM predictions
+  SELECT row_id, week_no, material_no, round(pred_shortage_confidence, 8) AS pred_shortage_confidence, pred_order_qty FROM predictions
   WHERE pred_shortage_confidence > 7e-1 ORDER BY predictions.pred_shortage_confidence DESC, row_id LIMIT 10""", "predictions"))
 def top_high_risk_ten(t):
-    return high_risk(t.predictions(), 10, ["row_id"]).select("row_id", "week_no", "material_no", r6("pred_shortage_confidence"), "pred_order_qty")
+    return high_risk(t.predictions(), 10, ["row_id"]).select("row_id", "week_no", "material_no", rounded("pred_shortage_confidence"), "pred_order_qty")
 
 
 @query("top_five_materials", with_views("""
@@ -223,10 +223,10 @@ _REAL_FEATURES = ("available_supply", "demand_gap", "qty_deviation", "qty_deviat
                   "customer_demand_gap", "customer_confirmation_rate", "vip_order_ratio", "at_risk_order_ratio")
 
 
-@query("feat_demand", with_views(f"SELECT week_no, material_no, scenario, {', '.join(_INT_FEATURES)}, {sql_r6(_REAL_FEATURES)} FROM features", "features"))
+@query("feat_demand", with_views(f"SELECT week_no, material_no, scenario, {', '.join(_INT_FEATURES)}, {sql_rounded(_REAL_FEATURES)} FROM features", "features"))
 def feat_demand(t):
     df = demand.feature_table(demand.star_from(t))
-    return df.select(*KEYS, *_INT_FEATURES, *[r6(c) for c in _REAL_FEATURES])
+    return df.select(*KEYS, *_INT_FEATURES, *[rounded(c) for c in _REAL_FEATURES])
 
 
 _PLANNING_REAL = ("stock_buffer_ratio", "stock_vs_safety", "otif_gap", "lead_time_risk", "scrap_adj_demand", "demand_vs_batch")
@@ -234,7 +234,7 @@ _PLANNING_REAL = ("stock_buffer_ratio", "stock_vs_safety", "otif_gap", "lead_tim
 
 @query("feat_planning", with_views(f"""
   SELECT week_no, material_no, scenario, {flag('week_no IN (48, 49, 50, 51, 52)')} AS is_peak_season, CAST(floor(week_no / 13) + 1 AS INTEGER) AS quarter,
-    {sql_r6(_PLANNING_REAL)} FROM (
+    {sql_rounded(_PLANNING_REAL)} FROM (
     SELECT *, (stock_level - reorder_point) / (reorder_point + 1) AS stock_buffer_ratio, stock_level - safety_stock AS stock_vs_safety,
       100 - supplier_otif_pct AS otif_gap, supplier_lead_time_days * (1 - supplier_otif_pct / 100) AS lead_time_risk,
       coalesce(total_requested_qty, 0) * (1 + coalesce(avg_scrap_rate, 0) / 100) AS scrap_adj_demand,
@@ -242,14 +242,14 @@ _PLANNING_REAL = ("stock_buffer_ratio", "stock_vs_safety", "otif_gap", "lead_tim
 def feat_planning(t):
     joined = demand.star_join(
         t.demand_forecast(), t.material_replenishment(), scrap=t.scrap_quality(), customers=t.customer_orders(), materials=t.material_master())
-    return joined.withColumns(planning_expressions()).select(*KEYS, "is_peak_season", "quarter", *[r6(c) for c in _PLANNING_REAL])
+    return joined.withColumns(planning_expressions()).select(*KEYS, "is_peak_season", "quarter", *[rounded(c) for c in _PLANNING_REAL])
 
 
 @query("feat_custom", with_views(f"""
-  SELECT week_no, material_no, scenario, demand_gap, {flag('week_no IN (48, 49, 50, 51, 52)')} AS peak, round(forecast_qty * seasonal_index, 6) AS seasonal_qty FROM features""", "features"))
+  SELECT week_no, material_no, scenario, demand_gap, {flag('week_no IN (48, 49, 50, 51, 52)')} AS peak, round(forecast_qty * seasonal_index, 8) AS seasonal_qty FROM features""", "features"))
 def feat_custom(t):
     """A caller's own features next to the built-in ones."""
-    extra = {"peak": F.col("week_no").isin(*PEAK_WEEKS).cast("int"), "seasonal_qty": F.round(F.col("forecast_qty") * F.col("seasonal_index"), 6)}
+    extra = {"peak": F.col("week_no").isin(*PEAK_WEEKS).cast("int"), "seasonal_qty": F.round(F.col("forecast_qty") * F.col("seasonal_index"), 8)}
     return demand.feature_table(demand.star_from(t), extra).select(*KEYS, "demand_gap", "peak", "seasonal_qty")
 
 
@@ -258,24 +258,24 @@ _MACHINE_STATE = ("calibration_lag_days", "maintenance_lag_days", "calibration_o
 
 @query("feat_machine_state", with_views(
     "SELECT inspection_lot, CAST(calibration_lag_days AS INTEGER) AS calibration_lag_days, CAST(maintenance_lag_days AS INTEGER) AS maintenance_lag_days, "
-    "calibration_overdue, maintenance_overdue, round(scrap_cost_eur, 6) AS scrap_cost_eur FROM lot_features", "lot_features"))
+    "calibration_overdue, maintenance_overdue, round(scrap_cost_eur, 8) AS scrap_cost_eur FROM lot_features", "lot_features"))
 def feat_machine_state(t):
     lots = scrap.with_masters(t.scrap_quality(), t.machine_master(), t.material_master(), t.supplier_master())
-    return scrap.machine_state(lots).select("inspection_lot", *_MACHINE_STATE, r6("scrap_cost_eur"))
+    return scrap.machine_state(lots).select("inspection_lot", *_MACHINE_STATE, rounded("scrap_cost_eur"))
 
 
 @query("feat_lot_ratios", with_views("""
-  SELECT inspection_lot, round(rework_qty / (scrap_qty + rework_qty + 1e-6), 6) AS rework_share, round(scrap_cost_eur / (inspected_qty + 1e-6), 6) AS scrap_cost_per_unit
+  SELECT inspection_lot, round(rework_qty / (scrap_qty + rework_qty + 1e-6), 8) AS rework_share, round(scrap_cost_eur / (inspected_qty + 1e-6), 8) AS scrap_cost_per_unit
   FROM scrap_quality""", "scrap_quality"))
 def feat_lot_ratios(t):
-    return t.scrap_quality().withColumns(lot_ratio_expressions()).select("inspection_lot", r6("rework_share"), r6("scrap_cost_per_unit"))
+    return t.scrap_quality().withColumns(lot_ratio_expressions()).select("inspection_lot", rounded("rework_share"), rounded("scrap_cost_per_unit"))
 
 
-@query("feat_scrap", with_views(f"SELECT inspection_lot, target, {sql_r6(SCRAP_FEATURES)} FROM lot_features", "lot_features"))
+@query("feat_scrap", with_views(f"SELECT inspection_lot, target, {sql_rounded(SCRAP_FEATURES)} FROM lot_features", "lot_features"))
 def feat_scrap(t):
     """All 22 features of the scrap models and the target."""
     coded = scrap.encode_lots(scrap.enriched_from(t), scrap.encoders_from(t), unknown=-1)
-    return coded.select("inspection_lot", "target", *[r6(c) for c in SCRAP_FEATURES])
+    return coded.select("inspection_lot", "target", *[rounded(c) for c in SCRAP_FEATURES])
 
 
 # Encoders.
@@ -376,22 +376,22 @@ def split_is_complete(t):
 
 
 @query("metric_regression", with_views("""
-  SELECT round(avg(abs(a - p)), 6) AS mae, round(sqrt(avg(pow(a - p, 2))), 6) AS rmse, round(1 - sum(pow(a - p, 2)) / sum(pow(a - m, 2)), 6) AS r2
+  SELECT round(avg(abs(a - p)), 8) AS mae, round(sqrt(avg(pow(a - p, 2))), 8) AS rmse, round(1 - sum(pow(a - p, 2)) / sum(pow(a - m, 2)), 8) AS r2
   FROM (SELECT actual_shortage_prob AS a, pred_shortage_prob AS p, avg(actual_shortage_prob) OVER () AS m FROM predictions)""", "predictions"))
 def metric_regression(t):
     out = metrics.regression_metrics(t.predictions(), "actual_shortage_prob", "pred_shortage_prob")
-    return out.select(r6("mae"), r6("rmse"), r6("r2"))
+    return out.select(rounded("mae"), rounded("rmse"), rounded("r2"))
 
 
 @query("metric_mape", with_views("""
-  SELECT round(avg(abs(a - p) / greatest(abs(a), 1e0)), 6) AS guarded_mape, round(log10(avg(abs(a - p) / greatest(abs(a), 2.220446049250313e-16))), 6) AS log_mape
+  SELECT round(avg(abs(a - p) / greatest(abs(a), 1e0)), 8) AS guarded_mape, round(log10(avg(abs(a - p) / greatest(abs(a), 2.220446049250313e-16))), 8) AS log_mape
   FROM (SELECT actual_order_qty AS a, pred_order_qty AS p FROM predictions)""", "predictions"))
 def metric_mape(t):
     """Zero actuals blow the percentage error up, as published; its logarithm is compared."""
     p = t.predictions()
     size = F.abs(F.col("actual_order_qty"))
     guarded = F.abs(F.col("actual_order_qty") - F.col("pred_order_qty")) / F.greatest(size, F.lit(1))
-    return p.agg(F.round(F.avg(guarded), 6).alias("guarded_mape"), F.round(F.log10(metrics.mape("actual_order_qty", "pred_order_qty")), 6).alias("log_mape"))
+    return p.agg(F.round(F.avg(guarded), 8).alias("guarded_mape"), F.round(F.log10(metrics.mape("actual_order_qty", "pred_order_qty")), 8).alias("log_mape"))
 
 
 @query("metric_r2_constant", with_views("SELECT 0e0 AS constant_r2, 1e0 AS exact_r2 FROM predictions LIMIT 1", "predictions"))
@@ -402,29 +402,29 @@ def metric_r2_constant(t):
 
 
 @query("metric_roc_auc", with_views("""
-  SELECT round(sum(pos * (neg_below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM (
+  SELECT round(sum(pos * (neg_below + neg / 2)) / (sum(pos) * sum(neg)), 8) AS roc_auc FROM (
     SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM (
       SELECT pred_shortage_confidence AS s, count(*) FILTER (actual_shortage_flag = 1) AS pos, count(*) FILTER (actual_shortage_flag = 0) AS neg
       FROM predictions GROUP BY 1))""", "predictions"))
 def metric_roc_auc(t):
-    return metrics.roc_auc(t.predictions(), "actual_shortage_flag", "pred_shortage_confidence").select(r6("roc_auc"))
+    return metrics.roc_auc(t.predictions(), "actual_shortage_flag", "pred_shortage_confidence").select(rounded("roc_auc"))
 
 
 @query("metric_binary", with_views("""
-  SELECT round(acc, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1_score
+  SELECT round(acc, 8) AS accuracy, round(tp / (tp + fp), 8) AS precision, round(tp / (tp + fn), 8) AS recall, round(2 * tp / (2 * tp + fp + fn), 8) AS f1_score
   FROM (SELECT avg(CASE WHEN actual_shortage_flag = pred_shortage_flag THEN 1e0 ELSE 0e0 END) AS acc,
       count(*) FILTER (actual_shortage_flag = 1 AND pred_shortage_flag = 1) AS tp, count(*) FILTER (actual_shortage_flag = 0 AND pred_shortage_flag = 1) AS fp,
       count(*) FILTER (actual_shortage_flag = 1 AND pred_shortage_flag = 0) AS fn FROM predictions)""", "predictions"))
 def metric_binary(t):
     out = metrics.binary_metrics(t.predictions(), "actual_shortage_flag", "pred_shortage_flag")
-    return out.select(*[r6(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+    return out.select(*[rounded(c) for c in ("accuracy", "precision", "recall", "f1_score")])
 
 
 @query("metric_class_report", with_views("""
   , per AS (SELECT c::VARCHAR AS class, tp / chosen AS precision, tp / support AS recall, 2 * tp / (chosen + support) AS f1_score, support, tp FROM (
     SELECT c, count(*) FILTER (actual_shortage_flag = c AND pred_shortage_flag = c) AS tp, count(*) FILTER (pred_shortage_flag = c) AS chosen,
       count(*) FILTER (actual_shortage_flag = c) AS support FROM predictions, (VALUES (0), (1)) v(c) GROUP BY c))
-  SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support::BIGINT AS support FROM (
+  SELECT class, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1_score, 8) AS f1_score, support::BIGINT AS support FROM (
     SELECT class, precision, recall, f1_score, support FROM per
     UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM per
     UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM per
@@ -432,7 +432,7 @@ def metric_binary(t):
     "predictions").replace("\n\n  , per AS", ", per AS").replace("\n\n", "\n"))
 def metric_class_report(t):
     out = metrics.class_report(t.predictions(), "actual_shortage_flag", "pred_shortage_flag")
-    return out.select("class", r6("precision"), r6("recall"), r6("f1_score"), F.col("support").cast("bigint").alias("support"))
+    return out.select("class", rounded("precision"), rounded("recall"), rounded("f1_score"), F.col("support").cast("bigint").alias("support"))
 
 
 @query("metric_hash_balance", with_views(f"""

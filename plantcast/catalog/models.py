@@ -1 +1,185 @@
-"""Queries."""
+"""Queries: model training and scoring on the whole feature tables.
+
+Tree counts are kept small here so that a full run of all queries stays short; the defaults in
+``plans.training`` are the published settings. Where a result is fixed by the rules whatever the trees learn
+(row counts, ranges, the gap override), SQL checks it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantcast.catalog.registry import query
+from plantcast.catalog.views import with_views
+from plantcast.functions.features import demand_features
+from plantcast.operators.cleaning import median_imputer
+from plantcast.operators.encode import apply_encoder
+from plantcast.operators.metrics import stack_metrics
+from plantcast.plans import demand, reports, scoring, scrap, training
+from plantcast.session import work_path
+from plantcast.sources.schemas import KEYS
+
+TREES = {"maxIter": 5}
+FOREST = {"numTrees": 5, "maxDepth": 6}
+
+
+# Scrap lots cover few weeks of the benchmark data; requiring them would leave almost no complete demand row.
+def demand_training(t):
+    """Encoded demand features with unmatched facts as zero, ready to train on."""
+    joined = demand.star_from(t)
+    coded = demand.encode_demand(demand_features(joined), demand.demand_encoders(t.demand_forecast()))
+    facts = ["avg_defect_rate", "avg_scrap_rate", "avg_scrap_risk", "total_scrap_cost"]
+    return coded.na.fill(0, subset=facts)
+
+
+def scrap_training(t):
+    return scrap.encode_lots(scrap.enriched_from(t), scrap.encoders_from(t), unknown=-1)
+
+
+def demand_models(t, df=None) -> scoring.DemandModels:
+    df = demand_training(t) if df is None else df
+    forecast = training.train_forecast(df, **TREES)
+    _, shortage, _ = training.train_shortage(df, **FOREST)
+    return scoring.DemandModels(forecast.model, shortage, demand.demand_encoders(t.demand_forecast()))
+
+
+def scrap_models(t) -> scoring.ScrapModels:
+    df = scrap_training(t)
+    risk, pct = training.train_scrap_risk(df, **TREES), training.train_scrap_pct(df, **TREES)
+    return scoring.ScrapModels(risk.model, pct.model, scrap.encoders_from(t))
+
+
+@query("ml_train_forecast")
+def ml_train_forecast(t):
+    """Hold-out metrics of the quantity regressor."""
+    return stack_metrics({"model_order_qty_forecast": training.train_forecast(demand_training(t), **TREES).metrics})
+
+
+@query("ml_cross_validation")
+def ml_cross_validation(t):
+    """Mean and population deviation of R2 over five folds."""
+    return training.summarise_folds(training.cross_validated_r2(demand_training(t), maxIter=3))
+
+
+@query("ml_train_shortage")
+def ml_train_shortage(t):
+    """Hold-out metrics of the balanced forest before and after calibration."""
+    base, _, calibrated = training.train_shortage(demand_training(t), **FOREST)
+    return stack_metrics({"forest": base.metrics, "model_shortage_unified": calibrated})
+
+
+@query("ml_forecast_importance")
+def ml_forecast_importance(t):
+    """Ten most important features of the quantity regressor."""
+    found = training.train_forecast(demand_training(t), **TREES).importances
+    return found.orderBy(F.desc("importance"), "feature").limit(10)
+
+
+@query("ml_train_scrap_risk")
+def ml_train_scrap_risk(t):
+    return stack_metrics({"scrap_risk": training.train_scrap_risk(scrap_training(t), **TREES).metrics})
+
+
+@query("ml_train_scrap_pct")
+def ml_train_scrap_pct(t):
+    return stack_metrics({"scrap_pct": training.train_scrap_pct(scrap_training(t), **TREES).metrics})
+
+
+@query("ml_score_demand", with_views("""
+  SELECT week_no, material_no, scenario, demand_gap, CASE WHEN demand_gap > 0 THEN demand_gap ELSE 0e0 END AS recommended_order_qty,
+    CASE WHEN demand_gap > 0 THEN 1 END AS forced_flag, true AS in_range, true AS risk_fits, true AS reason_fits
+  FROM features WHERE stock_level IS NOT NULL""", "features"))
+def ml_score_demand(t):
+    """Trained, saved, loaded and applied to all records: what the rules fix must hold for every row."""
+    df = demand_training(t)
+    path = work_path(t.spark, "demand-models")
+    demand_models(t, df).save(t.spark, path)
+    models = scoring.DemandModels.load(t.spark, path)
+    scored = scoring.score_demand(df.drop("material_encoded", "scenario_encoded"), models)
+    p, gap = F.col("ml_shortage_probability"), F.col("demand_gap")
+    fits = (
+        F.when(gap > 0, F.col("reason").startswith("Demand exceeds"))
+        .when(F.col("ml_shortage_flag") == 1, F.col("reason").startswith("ML predicted"))
+        .otherwise(F.col("reason") == "Sufficient supply available")
+    )
+    level = F.when(p > 0.7, "High").when(p < 0.4, "Low").when((p > 0.4) & (p < 0.7), "Medium").otherwise(F.col("risk_level"))
+    return scored.select(
+        *KEYS, "demand_gap", "recommended_order_qty", F.when(gap > 0, F.col("ml_shortage_flag")).alias("forced_flag"),
+        ((p >= 0) & (p <= 1) & (F.col("ml_forecast_qty") >= 0)).alias("in_range"), (level == F.col("risk_level")).alias("risk_fits"), fits.alias("reason_fits"))
+
+
+@query("ml_score_lots", with_views("""
+  SELECT inspection_lot, machine_id, shift, true AS in_range, true AS alert_fits, true AS severity_fits FROM lot_features
+  WHERE scrap_cost_eur IS NOT NULL AND supplier_name IS NOT NULL AND material_group IS NOT NULL AND scrap_rate_pct <= 100""", "lot_features"))
+def ml_score_lots(t):
+    """Lots that pass the checks, scored by both scrap models."""
+    path = work_path(t.spark, "scrap-models")
+    scrap_models(t).save(t.spark, path)
+    models = scoring.ScrapModels.load(t.spark, path)
+    records = scrap.enriched_from(t).withColumn("inspection_date", F.col("inspection_date").cast("string"))
+    scored = scoring.score_lots(records, models)
+    p, pct = F.col("scrap_risk_probability"), F.col("predicted_scrap_pct")
+    alert = F.when(p > 0.6, "ESCALATE").when(p < 0.4, "OK").when((p > 0.4) & (p < 0.6), "WARN").otherwise(F.col("alert_level"))
+    severity = F.when(pct > 10, "HIGH (Red)").when((pct > 5) & (pct < 10), "MEDIUM (Yellow)").when(pct < 5, "LOW (Green)").otherwise(F.col("scrap_severity"))
+    return scored.select(
+        "inspection_lot", "machine_id", "shift", ((p >= 0) & (p <= 1)).alias("in_range"), (alert == F.col("alert_level")).alias("alert_fits"),
+        (severity == F.col("scrap_severity")).alias("severity_fits"))
+
+
+@query("ml_combined_inference")
+def ml_combined_inference(t):
+    """Both scrap models over all feature rows."""
+    return scoring.combined_inference(scrap_training(t), scrap_models(t))
+
+
+def three_target_rows(t):
+    """Feature rows of the three-target variant: planning features, medians for unknowns, known targets."""
+    joined = demand.star_join(
+        t.demand_forecast(), t.material_replenishment(), scrap=t.scrap_quality(), customers=t.customer_orders(),
+        materials=t.material_master(), suppliers=t.supplier_master())
+    df = demand.planning_features(joined)
+    df = apply_encoder(df, demand.demand_encoders(t.demand_forecast())["scenario"], "scenario", "scenario_encoded")
+    features = ["scenario_encoded", "stock_level", "stock_roll3", "demand_roll3", "demand_vs_batch", "stock_buffer_ratio", "stock_vs_safety",
+                "otif_gap", "lead_time_risk", "scrap_adj_demand", "stock_level_lag1", "stock_level_lag2", "shortage_prob_lag1",
+                "is_peak_season", "quarter", "week_no"]
+    uncertain = [c for c in features if c not in ("scenario_encoded", "is_peak_season", "quarter", "week_no")]
+    known = df.where(F.col("shortage_flag").isNotNull())
+    medians = {c: f"{c}_filled" for c in uncertain}
+    doubles = known.withColumns({filled: F.col(c).cast("double") for c, filled in medians.items()})
+    imputed = median_imputer(list(medians.values())).fit(doubles).transform(doubles)
+    vector = [medians.get(c, c) for c in features]
+    rows = imputed.select(
+        training.grain_key().alias(training.ROW_KEY), "week_no", "material_no", F.col("shortage_flag").cast("double").alias("flag"),
+        F.col("shortage_probability_replen").alias("prob"), F.col("replenishment_order_qty").cast("double").alias("qty"),
+        "shortage_flag", F.col("shortage_probability_replen").alias("shortage_probability"), "replenishment_order_qty", "stock_level",
+        "reorder_point", "supplier_otif_pct", training.feature_vector(vector).alias("features"))
+    training.checkpoint_root(t.spark)
+    return rows.checkpoint(), features
+
+
+@query("ml_three_targets", with_views("""
+  SELECT week_no, material_no, shortage_flag AS actual_shortage_flag, shortage_probability AS actual_shortage_prob,
+    replenishment_order_qty AS actual_order_qty, true AS in_range FROM material_replenishment SEMI JOIN demand_forecast USING (week_no, material_no)""",
+    "material_replenishment", "demand_forecast"))
+def ml_three_targets(t):
+    """Flag, probability and order quantity of every row with stock data, next to the actuals."""
+    rows, _ = three_target_rows(t)
+    model = training.train_three_targets(rows, "flag", "prob", "qty", **TREES)
+    out = reports.prediction_frame(model.transform(rows))
+    in_range = F.col("pred_shortage_prob").between(0, 1) & F.col("pred_shortage_confidence").between(0, 1) & (F.col("pred_order_qty") >= 0)
+    return out.select("week_no", "material_no", "actual_shortage_flag", "actual_shortage_prob", "actual_order_qty", in_range.alias("in_range"))
+
+
+@query("ml_feature_selection")
+def ml_feature_selection(t):
+    """The features kept for the quantity model."""
+    rows, names = three_target_rows(t)
+    kept = training.select_features(rows, "qty", 8).selectedFeatures
+    return t.spark.createDataFrame([(i, names[i]) for i in kept], "position int, feature string")
+
+
+@query("ml_parameter_search")
+def ml_parameter_search(t):
+    """Cross-validated R2 per combination of depth and step size."""
+    rows, _ = three_target_rows(t)
+    return training.search_parameters(rows, "qty", {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, folds=2, maxIter=3)

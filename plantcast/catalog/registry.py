@@ -25,10 +25,10 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def r6(name: str, digits: int = 6) -> Column:
+def rounded(name: str, digits: int = 8) -> Column:
     """Rounded column under its own name: sums of doubles differ in the last bits between engines."""
     return F.round(F.col(name).cast("double"), digits).alias(name)
 
 
-def sql_r6(names: list[str] | tuple[str, ...], digits: int = 6) -> str:
+def sql_rounded(names: list[str] | tuple[str, ...], digits: int = 8) -> str:
     return ", ".join(f"round({n}::DOUBLE, {digits}) AS {n}" for n in names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantcast.catalog.registry import query, r6, sql_r6
+from plantcast.catalog.registry import query, rounded, sql_rounded
 from plantcast.catalog.views import with_views
 from plantcast.functions.columns import clip, exact_round, normalise_names, number_text, percent_text, zero_to_one
 from plantcast.functions.rules import alert_level
@@ -162,14 +162,14 @@ def src_upsert_predictions(t):
     return t.spark.read.parquet(path).select(*LATEST_COLUMNS)
 
 
-@query("src_predictions_csv", with_views("SELECT week_no, material_no, pred_shortage_flag, pred_order_qty, round(pred_shortage_prob, 6) AS pred_shortage_prob, '20260408' AS run FROM predictions", "predictions"))
+@query("src_predictions_csv", with_views("SELECT week_no, material_no, pred_shortage_flag, pred_order_qty, round(pred_shortage_prob, 8) AS pred_shortage_prob, '20260408' AS run FROM predictions", "predictions"))
 def src_predictions_csv(t):
     """Predictions written as headed CSV, the run as a partition."""
     path = work_path(t.spark, "predictions-csv")
     p = t.predictions().select("week_no", "material_no", "pred_shortage_flag", "pred_order_qty", "pred_shortage_prob")
     tables.write_predictions_csv(p, path, "run_20260408")
     read = t.spark.read.schema("week_no int, material_no string, pred_shortage_flag int, pred_order_qty int, pred_shortage_prob double, run_ts string").option("header", True).csv(path)
-    return read.select("week_no", "material_no", "pred_shortage_flag", "pred_order_qty", r6("pred_shortage_prob"), F.substring("run_ts", 5, 8).alias("run"))
+    return read.select("week_no", "material_no", "pred_shortage_flag", "pred_order_qty", rounded("pred_shortage_prob"), F.substring("run_ts", 5, 8).alias("run"))
 
 
 @query("enc_saved_encoders", with_views("""
@@ -200,17 +200,17 @@ _FILL_ZERO = ("total_requested_qty", "n_customer_orders", "avg_scrap_rate", "tot
 
 
 @query("clean_fill_zero", with_views(
-    "SELECT week_no, material_no, scenario, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}" for c in _FILL_ZERO) + " FROM star", "star"))
+    "SELECT week_no, material_no, scenario, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 8) AS {c}" for c in _FILL_ZERO) + " FROM star", "star"))
 def clean_fill_zero(t):
-    return cleaning.fill_zero(demand.star_from(t), _FILL_ZERO).select(*KEYS, *[r6(c) for c in _FILL_ZERO])
+    return cleaning.fill_zero(demand.star_from(t), _FILL_ZERO).select(*KEYS, *[rounded(c) for c in _FILL_ZERO])
 
 
 @query("clean_fill_mean", with_views(
-    f"SELECT inspection_lot, {sql_r6(['supplier_otif_pct', 'supplier_scrap_pct', 'supplier_risk_score'])} FROM lot_features", "lot_features"))
+    f"SELECT inspection_lot, {sql_rounded(['supplier_otif_pct', 'supplier_scrap_pct', 'supplier_risk_score'])} FROM lot_features", "lot_features"))
 def clean_fill_mean(t):
     joined = scrap.with_masters(t.scrap_quality(), t.machine_master(), t.material_master(), t.supplier_master())
     names = list(scrap.SUPPLIER_NAMES.values())
-    return cleaning.fill_mean(joined, names).select("inspection_lot", *[r6(n) for n in names])
+    return cleaning.fill_mean(joined, names).select("inspection_lot", *[rounded(n) for n in names])
 
 
 @query("clean_fill_constant", with_views("""
@@ -233,10 +233,10 @@ def clean_fill_median(t):
 
 @query("clean_guard_divisor", with_views("""
   SELECT inspection_lot, CASE WHEN rework_qty = 0 THEN 1e0 ELSE rework_qty END AS divisor,
-    round(scrap_qty / CASE WHEN rework_qty = 0 THEN 1 ELSE rework_qty END, 6) AS ratio FROM scrap_quality""", "scrap_quality"))
+    round(scrap_qty / CASE WHEN rework_qty = 0 THEN 1 ELSE rework_qty END, 8) AS ratio FROM scrap_quality""", "scrap_quality"))
 def clean_guard_divisor(t):
     divisor = zero_to_one(F.col("rework_qty"))
-    return t.scrap_quality().select("inspection_lot", divisor.alias("divisor"), F.round(F.col("scrap_qty") / divisor, 6).alias("ratio"))
+    return t.scrap_quality().select("inspection_lot", divisor.alias("divisor"), F.round(F.col("scrap_qty") / divisor, 8).alias("ratio"))
 
 
 @query("clean_casts", with_views("""
@@ -251,13 +251,13 @@ _PROJECTED = ("forecast_qty", "stock_level", "demand_gap", "customer_confirmatio
 
 
 @query("clean_feature_projection", with_views(
-    "SELECT week_no AS week, material_no AS material, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}" for c in _PROJECTED)
+    "SELECT week_no AS week, material_no AS material, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 8) AS {c}" for c in _PROJECTED)
     + ", 0e0 AS not_there FROM features", "features"))
 def clean_feature_projection(t):
     df = demand.feature_table(demand.star_from(t))
     keep = [F.col("week_no").alias("week"), F.col("material_no").alias("material")]
     out = cleaning.feature_projection(df, [*_PROJECTED, "not_there"], keep)
-    return out.withColumns({c: F.round(F.col(c), 6) for c in _PROJECTED})
+    return out.withColumns({c: F.round(F.col(c), 8) for c in _PROJECTED})
 
 
 @query("clean_names_and_targets", with_views("SELECT inspection_lot AS lot_number, scrap_rate_pct AS scrap_rate FROM scrap_quality", "scrap_quality"))
@@ -302,22 +302,22 @@ _STAR_EXACT = ("forecast_qty", "stock_level", "n_orders", "total_requested_qty",
                "avg_lead_time_days", "risk_score_m5", "scrap_contribution_pct")
 
 
-@query("join_star", with_views(f"SELECT week_no, material_no, scenario, {', '.join(_STAR_EXACT)}, {sql_r6(_STAR_ROUNDED)} FROM star", "star"))
+@query("join_star", with_views(f"SELECT week_no, material_no, scenario, {', '.join(_STAR_EXACT)}, {sql_rounded(_STAR_ROUNDED)} FROM star", "star"))
 def join_star(t):
     """All seven left joins of the demand product."""
-    return demand.star_from(t).select(*KEYS, *_STAR_EXACT, *[r6(c) for c in _STAR_ROUNDED])
+    return demand.star_from(t).select(*KEYS, *_STAR_EXACT, *[rounded(c) for c in _STAR_ROUNDED])
 
 
-@query("join_production", with_views(f"SELECT week_no, material_no, scenario, n_orders, {sql_r6(_STAR_ROUNDED[:4])} FROM star", "star"))
+@query("join_production", with_views(f"SELECT week_no, material_no, scenario, n_orders, {sql_rounded(_STAR_ROUNDED[:4])} FROM star", "star"))
 def join_production(t):
     joined = demand.star_join(t.demand_forecast(), t.material_replenishment(), production=t.production_orders())
-    return joined.select(*KEYS, "n_orders", *[r6(c) for c in _STAR_ROUNDED[:4]])
+    return joined.select(*KEYS, "n_orders", *[rounded(c) for c in _STAR_ROUNDED[:4]])
 
 
-@query("join_scrap", with_views(f"SELECT week_no, material_no, scenario, {sql_r6(_STAR_ROUNDED[4:8])} FROM star", "star"))
+@query("join_scrap", with_views(f"SELECT week_no, material_no, scenario, {sql_rounded(_STAR_ROUNDED[4:8])} FROM star", "star"))
 def join_scrap(t):
     joined = demand.star_join(t.demand_forecast(), t.material_replenishment(), scrap=t.scrap_quality())
-    return joined.select(*KEYS, *[r6(c) for c in _STAR_ROUNDED[4:8]])
+    return joined.select(*KEYS, *[rounded(c) for c in _STAR_ROUNDED[4:8]])
 
 
 @query("join_customers", with_views("SELECT week_no, material_no, scenario, total_requested_qty, total_confirmed_qty, n_customer_orders, vip_order_count, at_risk_order_count FROM star", "star"))
@@ -326,10 +326,10 @@ def join_customers(t):
     return joined.select(*KEYS, "total_requested_qty", "total_confirmed_qty", "n_customer_orders", "vip_order_count", "at_risk_order_count")
 
 
-@query("join_work_centres", with_views(f"SELECT week_no, material_no, scenario, max_wc_utilization, {sql_r6(_STAR_ROUNDED[8:])} FROM star", "star"))
+@query("join_work_centres", with_views(f"SELECT week_no, material_no, scenario, max_wc_utilization, {sql_rounded(_STAR_ROUNDED[8:])} FROM star", "star"))
 def join_work_centres(t):
     joined = demand.star_join(t.demand_forecast(), t.material_replenishment(), work_centres=t.work_centre_utilization())
-    return joined.select(*KEYS, "max_wc_utilization", *[r6(c) for c in _STAR_ROUNDED[8:]])
+    return joined.select(*KEYS, "max_wc_utilization", *[rounded(c) for c in _STAR_ROUNDED[8:]])
 
 
 @query("join_dimensions", with_views("SELECT week_no, material_no, scenario, unit_cost_eur, reorder_point, safety_stock, otif_pct, risk_score_m5 FROM star", "star"))

@@ -85,6 +85,11 @@ def roc_auc(df: DataFrame, actual: str, score: str, rows_per_chunk: int = ROWS_P
     return placed.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
+def classifier_metrics_frame(df: DataFrame, actual: str, predicted: str, score: str) -> DataFrame:
+    """One row: accuracy, precision, recall, F1 and roc_auc."""
+    return binary_metrics(df, actual, predicted).withColumn("roc_auc", roc_auc(df, actual, score).scalar())
+
+
 def class_report(df: DataFrame, actual: str, predicted: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Precision, recall, F1 and support per class, with macro and weighted means and the accuracy."""
     pairs = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantcast.functions.columns import flag, nz, ratio
 from plantcast.functions.features import demand_features, planning_expressions
 from plantcast.functions.rules import recommended_order, shortage_flag, shortage_reason
 from plantcast.operators.aggregates import (
@@ -116,10 +117,8 @@ def shortage_report(tables) -> DataFrame:
         *KEYS,
         "supplier_id",
         gap.alias("demand_gap"),
-        F.coalesce(c("stock_level") < c("safety_stock"), F.lit(False)).cast("int").alias("below_safety_stock"),
-        F.round(
-            F.coalesce(c("vip_order_count"), F.lit(0)) / (F.coalesce(c("n_customer_orders"), F.lit(0)) + 1e-6), 6
-        ).alias("vip_order_ratio"),
+        flag(c("stock_level") < c("safety_stock")).alias("below_safety_stock"),
+        ratio(nz("vip_order_count"), nz("n_customer_orders")).alias("vip_order_ratio"),
         requested.alias("requested_qty"),
         c("otif_pct"),
         shortage_flag(none, gap).alias("shortage_flag"),

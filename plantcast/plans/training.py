@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plantcast.functions.columns import clip
 from plantcast.operators.cleaning import complete_cases
-from plantcast.operators.metrics import binary_metrics, importance_frame, regression_metrics, roc_auc
+from plantcast.operators.metrics import classifier_metrics_frame, importance_frame, regression_metrics
 from plantcast.operators.split import hash_folds, random_split, stratified_folds, stratified_split, time_split
 from plantcast.session import checkpoint_root
 from plantcast.sources.schemas import FORECAST_FEATURES, KEYS, SCRAP_FEATURES, SHORTAGE_FEATURES
@@ -192,16 +192,10 @@ def train_shortage(df: DataFrame, features: Sequence[str] = SHORTAGE_FEATURES, l
     learner = RandomForestClassifier(seed=SEED, maxBins=MAX_BINS, weightCol="weight", **{**SHORTAGE_MODEL, **overrides})
     plain = learner.fit(class_weights(train))
     plain_scored = plain.transform(test).withColumn("score", positive_probability())
-    base = Trained(plain, classifier_metrics(plain_scored, "prediction", "score"), _importances(df.sparkSession, features, plain))
+    base = Trained(plain, classifier_metrics_frame(plain_scored, "label", "prediction", "score"), _importances(df.sparkSession, features, plain))
     ensemble = fit_calibrated_forest(train, **overrides)
     calibrated = ensemble.transform(test).withColumn("chosen", (F.col("calibrated") > 0.5).cast("double"))
-    return base, ensemble, classifier_metrics(calibrated, "chosen", "calibrated")
-
-
-def classifier_metrics(scored: DataFrame, predicted: str, score: str, label: str = "label") -> DataFrame:
-    """One row: roc_auc, accuracy, precision, recall, F1."""
-    area = roc_auc(scored, label, score).scalar()
-    return binary_metrics(scored, label, predicted).withColumn("roc_auc", area)
+    return base, ensemble, classifier_metrics_frame(calibrated, "label", "chosen", "calibrated")
 
 
 def scrap_rows(df: DataFrame, label: str) -> DataFrame:
@@ -226,7 +220,7 @@ def train_scrap_risk(df: DataFrame, label: str = "target", **overrides) -> Train
     )
     model = learner.fit(rows.where("is_train"))
     scored = model.transform(rows.where("NOT is_train")).withColumn("score", positive_probability())
-    return Trained(model, classifier_metrics(scored, "prediction", "score"), _importances(df.sparkSession, SCRAP_FEATURES, model))
+    return Trained(model, classifier_metrics_frame(scored, "label", "prediction", "score"), _importances(df.sparkSession, SCRAP_FEATURES, model))
 
 
 def train_scrap_pct(df: DataFrame, label: str = "scrap_rate_pct", **overrides) -> Trained:

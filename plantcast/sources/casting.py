@@ -218,7 +218,7 @@ def inspections(events: DataFrame) -> DataFrame:
         pick(key % 3, SHIFTS).alias("shift"),
         F.to_date("ts").alias("inspection_date"),
         defect.alias("defect_type"),
-        (value / 8).alias("defect_rate_pct"),
+        (value / 10).alias("defect_rate_pct"),
         (30 + key % 170).cast("int").alias("inspected_qty"),
         (key % 33).cast("int").alias("scrap_qty"),
         (key % 21).cast("int").alias("rework_qty"),
