@@ -110,7 +110,7 @@ def ml_score_demand(t):
 
 @query("ml_score_lots", with_views("""
   SELECT inspection_lot, machine_id, shift, true AS in_range, true AS alert_fits, true AS severity_fits FROM lot_features
-  WHERE scrap_cost_eur IS NOT NULL AND supplier_name IS NOT NULL AND material_group IS NOT NULL AND scrap_rate_pct <= 100""", "lot_features"))
+  WHERE scrap_cost_eur IS NOT NULL AND supplier_name IS NOT NULL AND material_group IS NOT NULL AND defect_rate_pct <= 100""", "lot_features"))
 def ml_score_lots(t):
     """Lots that pass the checks, scored by both scrap models."""
     path = work_path(t.spark, "scrap-models")

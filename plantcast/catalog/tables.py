@@ -81,7 +81,8 @@ def lot_records(t):
 @query("src_rejected_lots", with_views("""
   SELECT * FROM (SELECT inspection_lot, concat_ws(';', CASE WHEN scrap_cost_eur IS NULL THEN 'scrap_cost_eur missing' END,
       CASE WHEN supplier_name IS NULL THEN 'supplier_name missing' END, CASE WHEN material_group IS NULL THEN 'material_group missing' END,
-      CASE WHEN scrap_rate_pct > 100 THEN 'scrap_rate_pct out of range' END) AS violations FROM lot_features)
+      CASE WHEN defect_rate_pct > 100 THEN 'defect_rate_pct out of range' END, CASE WHEN scrap_rate_pct > 100 THEN 'scrap_rate_pct out of range' END,
+      CASE WHEN rework_rate_pct > 100 THEN 'rework_rate_pct out of range' END) AS violations FROM lot_features)
   WHERE violations <> ''""", "lot_features"))
 def src_rejected_lots(t):
     """Records that break a rule, with every rule they break."""

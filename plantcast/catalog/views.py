@@ -90,8 +90,8 @@ view("scrap_quality", f"""
     CASE event_id % 3 WHEN 0 THEN 'Morning' WHEN 1 THEN 'Afternoon' ELSE 'Night' END AS shift, ts::DATE AS inspection_date,
     CASE event_type WHEN 'click' THEN 'Dimensional' WHEN 'view' THEN 'Surface Finish' WHEN 'error' THEN 'Material Fault'
       WHEN 'purchase' THEN 'Operator Error' ELSE event_type END AS defect_type,
-    value / 10 AS defect_rate_pct, CAST(30 + event_id % 170 AS INTEGER) AS inspected_qty, CAST(event_id % 33 AS INTEGER) AS scrap_qty,
-    CAST(event_id % 21 AS INTEGER) AS rework_qty, value / 4 AS scrap_rate_pct, value / 20 AS rework_rate_pct,
+    floor(value) AS defect_rate_pct, CAST(30 + event_id % 170 AS INTEGER) AS inspected_qty, CAST(event_id % 33 AS INTEGER) AS scrap_qty,
+    CAST(event_id % 21 AS INTEGER) AS rework_qty, floor(value) / 2 AS scrap_rate_pct, floor(value) / 4 AS rework_rate_pct,
     least(value / 50, 1e0) AS scrap_risk_probability, CAST((event_id % 33) * 10 AS DOUBLE) AS scrap_cost_eur,
     {scenario('week_no')} AS scenario, week_no
   FROM (SELECT *, {week('ts')} AS week_no FROM events)""")

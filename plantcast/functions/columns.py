@@ -42,9 +42,17 @@ def zero_to_one(c: Column) -> Column:
 
 
 def number_text(c: Column, decimals: int) -> Column:
-    """Fixed decimals, no thousands mark, rounded half-even on the exact binary value."""
-    pattern = "0" if decimals == 0 else "0." + "0" * decimals
-    return F.call_function("format_number", c, F.lit(pattern))
+    """Fixed decimals, no thousands mark, rounded half-even on the exact binary value.
+
+    The formatter drops a value just above half a unit of the last place, so values below one unit are
+    settled by a comparison first.
+    """
+    if decimals == 0:
+        return F.call_function("format_number", c, F.lit("0"))
+    unit, half = float(f"1e-{decimals}"), float(f"5e-{decimals + 1}")
+    size = F.abs(c)
+    settled = F.when((size < unit) & (size >= half), F.signum(c) * unit).otherwise(c)
+    return F.call_function("format_number", settled, F.lit("0." + "0" * decimals))
 
 
 def exact_round(c: Column, decimals: int) -> Column:

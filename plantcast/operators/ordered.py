@@ -1,7 +1,7 @@
 """Operations that need an order over many rows, without one task ever holding a whole group.
 
 A key may own a third of all rows, and a global order has no key at all. The order column is therefore
-cut at approximate quantiles into chunks of about ``rows_per_chunk`` rows. Rows are shuffled by chunk, and
+cut at approximate quantiles into chunks of at least ``rows_per_chunk`` rows. Rows are shuffled by chunk, and
 what one chunk needs from the ones before it (a running total, the last few rows) travels as a small
 summary per chunk. The cuts only steer the balance; results do not depend on them.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_CHUNK = 2_000_000
+ROWS_PER_CHUNK = 20_000
+# The cuts are a list on the driver, so their number is bounded; beyond it the chunks grow with the data.
+MAX_CHUNKS = 10_000
 CHUNK = "_chunk"
 
 
@@ -41,15 +43,16 @@ def _position(name: str, kind: T.DataType, low, high) -> Column:
 def with_chunk(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, int]:
     """Add an integer column that never falls along ``order`` (one or two columns without nulls).
 
-    Returns the frame and the number of chunks asked for. The cuts are quantiles of a numeric position; of two
+    Returns the frame and the number of chunks asked for. Finding the cuts reads ``df`` twice, so an expensive
+    frame should be written or checkpointed first. The cuts are quantiles of a numeric position; of two
     columns the first must be whole-numbered (date, integer, text) and the second adds a fraction below one.
     """
     first, second = order[0], (order[1] if len(order) > 1 else None)
     bounds = [f(c) for c in order for f in (F.min, F.max)]
     *ends, rows = df.agg(*bounds, F.count(F.lit(1))).first()
-    chunks = -(-rows // rows_per_chunk)
+    chunks = min(-(-rows // rows_per_chunk), MAX_CHUNKS)
     if chunks <= 1:
-        return df.withColumn(CHUNK, F.lit(0.0)), 1
+        return df.withColumn(CHUNK, F.lit(0)), 1
     position = _position(first, df.schema[first].dataType, *ends[:2])
     if second:
         if isinstance(df.schema[first].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
@@ -62,7 +65,7 @@ def with_chunk(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_P
     cuts = sorted(set(placed.approxQuantile("_position", shares, 0.25 / chunks)))
     edges = [float("-inf"), *cuts, float("inf")]
     binned = Bucketizer(splits=edges, inputCol="_position", outputCol=CHUNK, handleInvalid="keep")
-    return binned.transform(placed).drop("_position"), chunks
+    return binned.transform(placed).withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("_position"), chunks
 
 
 def running_before(
@@ -81,7 +84,7 @@ def running_before(
         return df.withColumns({n: F.coalesce(F.sum(e).over(whole), F.lit(0)) for n, e in totals.items()})
     group = [*by, CHUNK]
     sums = chunked.groupBy(*group).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in totals.items()])
-    # One row per group and chunk: the number of chunks is rows / rows_per_chunk.
+    # One row per group and chunk: there are at most MAX_CHUNKS chunks.
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(*before)
     offsets = sums.select(
         *group, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals]

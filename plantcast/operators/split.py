@@ -13,11 +13,9 @@ from plantcast.functions.columns import key_hash
 from plantcast.operators.ordered import ROWS_PER_CHUNK, kth_row, running_before
 
 
-def _before_or_at(at: Column, major: str, minor: str) -> Column:
-    """Whether (major, minor) of the row is not after the threshold; a null threshold admits nothing."""
-    early = F.col(major) < at.getField(major)
-    tie = (F.col(major) == at.getField(major)) & (F.col(minor) <= at.getField(minor))
-    return F.coalesce(early | tie, F.lit(False))
+def _before_or_at(at: Column, *order: str) -> Column:
+    """Whether the row's order columns are not after the threshold; a null threshold admits nothing."""
+    return F.coalesce(F.struct(*order) <= at, F.lit(False))
 
 
 def time_split(

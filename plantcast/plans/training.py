@@ -62,12 +62,20 @@ def model_rows(df: DataFrame, features: Sequence[str], label: str, keep: Mapping
     return rows.checkpoint()
 
 
+def class_sizes(df: DataFrame, label: str = "label") -> tuple[int, int]:
+    """Rows of class 1 and of the others: one aggregate row."""
+    positive, total = df.agg(F.count_if(F.col(label) == 1), F.count(F.lit(1))).first()
+    return positive, total - positive
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight n / (2 n_class), so both classes count the same."""
-    sizes = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).alias("s")).scalar()
-    n, positive = sizes.getField("n"), sizes.getField("p")
-    own = F.when(F.col(label) == 1, positive).otherwise(n - positive)
-    return df.withColumn("weight", n / (2 * own))
+    positive, negative = class_sizes(df, label)
+    total = positive + negative
+    return df.withColumn(
+        "weight",
+        F.when(F.col(label) == 1, F.lit(total / (2 * max(positive, 1)))).otherwise(F.lit(total / (2 * max(negative, 1)))),
+    )
 
 
 @dataclass
@@ -119,12 +127,9 @@ def fit_sigmoid(scored: DataFrame, score: str, label: str = "label") -> tuple[fl
 
     A smoothed target t is a positive copy of the row with weight t and a negative one with 1 - t.
     """
-    sizes = scored.agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).alias("s")
-    ).scalar()
-    high = (sizes.getField("p") + 1) / (sizes.getField("p") + 2)
-    low = 1 / (sizes.getField("n") + 2)
-    target = F.when(F.col(label) == 1, high).otherwise(low)
+    positive, negative = class_sizes(scored, label)
+    high, low = (positive + 1) / (positive + 2), 1 / (negative + 2)
+    target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     copies = F.array(
         F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantcast.sources.schemas import KEYS
+
 # The scenario of a calendar week, and the shifts of a day.
 SCENARIOS = ("NORMAL", "DEMAND_SPIKE", "SUPPLIER_FAILURE", "MACHINE_BREAKDOWN")
 SHIFTS = ("Morning", "Afternoon", "Night")
@@ -41,19 +43,25 @@ class PlanningTables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _week_lines(self) -> DataFrame:
-        return self.raw("lineitem").withColumn("week_no", F.weekofyear("l_shipdate"))
+        """Order lines with the planning keys. Grouping by these very columns leaves a table partitioned the
+        way the joins need it."""
+        week = F.weekofyear("l_shipdate")
+        return self.raw("lineitem").withColumns(
+            {"week_no": week, "material_no": material_id(F.col("l_partkey")), "scenario": scenario_of(week)}
+        )
 
     def demand_forecast(self) -> DataFrame:
-        week, part = F.col("week_no"), F.col("l_partkey")
-        grain = self._week_lines().groupBy("week_no", "l_partkey").agg(
+        week, part = F.col("week_no"), F.col("part")
+        grain = self._week_lines().groupBy(*KEYS).agg(
+            F.min("l_partkey").alias("part"),
             F.sum("l_quantity").alias("forecast_qty"),
             F.min("l_suppkey").alias("supplier"),
             F.size(F.collect_set(F.year("l_shipdate"))).alias("years"),
         )
         return grain.select(
             F.concat_ws("-", F.lit("DFS"), week.cast("string"), part.cast("string")).alias("forecast_id"),
-            week,
-            material_id(part).alias("material_no"),
+            "week_no",
+            "material_no",
             supplier_id(F.col("supplier")).alias("supplier_id"),
             "forecast_qty",
             (F.col("forecast_qty") / F.col("years")).alias("historical_avg_qty"),
@@ -62,27 +70,28 @@ class PlanningTables:
             (F.lit(0.5).cast("double") + (part % 10) / 20).alias("confidence_score"),
             (((part + week) % 100) / 100).alias("shortage_probability"),
             (5 + part % 22).cast("int").alias("supplier_lead_time_days"),
-            scenario_of(week).alias("scenario"),
+            "scenario",
         )
 
     def material_replenishment(self) -> DataFrame:
-        week, part = F.col("week_no"), F.col("l_partkey")
-        lines = self._week_lines().where(F.col("l_linestatus") == "F")
-        grain = lines.groupBy("week_no", "l_partkey").agg(
-            F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).cast("int").alias("stock_level"),
-            F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)).cast("int").alias("replenishment_order_qty"),
+        week, part = F.col("week_no"), F.col("part")
+        quantity, returned = F.col("l_quantity"), F.col("l_returnflag")
+        grain = self._week_lines().where(F.col("l_linestatus") == "F").groupBy(*KEYS).agg(
+            F.min("l_partkey").alias("part"),
+            F.sum(F.when(returned == "R", quantity).otherwise(0.0)).cast("int").alias("stock_level"),
+            F.sum(F.when(returned == "A", quantity).otherwise(0.0)).cast("int").alias("replenishment_order_qty"),
         )
         return grain.select(
             F.concat_ws("-", F.lit("MR"), week.cast("string"), part.cast("string")).alias("replenishment_id"),
-            week,
-            material_id(part).alias("material_no"),
+            "week_no",
+            "material_no",
             "stock_level",
             F.lit(200).alias("reorder_point"),
             "replenishment_order_qty",
             (60 + (part + week) % 41).cast("double").alias("supplier_otif_pct"),
             F.when(F.col("stock_level") < F.col("replenishment_order_qty"), 1).otherwise(0).alias("shortage_flag"),
             (((part * 7 + week) % 100) / 100).alias("shortage_probability"),
-            scenario_of(week).alias("scenario"),
+            "scenario",
         )
 
     def _order_lines(self) -> DataFrame:
@@ -94,14 +103,14 @@ class PlanningTables:
             F.concat(F.lit("CO-"), F.col("o_orderkey").cast("string")).alias("customer_order_no"),
             F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("customer_id"),
             F.col("o_orderpriority").alias("customer_priority"),
-            material_id(F.col("l_partkey")).alias("material_no"),
+            "material_no",
             qty.alias("requested_qty"),
             F.when(F.col("l_returnflag") != "R", qty).otherwise(0).alias("confirmed_qty"),
             F.to_date("o_orderdate").alias("order_date"),
             pick_status(F.col("o_orderstatus")).alias("delivery_status"),
             F.col("l_extendedprice").alias("contract_value_eur"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "Y").otherwise("N").alias("vip_flag"),
-            scenario_of(F.col("week_no")).alias("scenario"),
+            "scenario",
             "week_no",
         )
 
@@ -109,9 +118,7 @@ class PlanningTables:
         days = F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
         return self._order_lines().select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("production_order_no"),
-            "week_no",
-            material_id(F.col("l_partkey")).alias("material_no"),
-            scenario_of(F.col("week_no")).alias("scenario"),
+            *KEYS,
             (days % 24).cast("double").alias("start_delay_hrs"),
             (days % 48).cast("double").alias("finish_delay_hrs"),
             (F.col("l_discount") * 10).alias("overload_probability"),
@@ -218,12 +225,12 @@ def inspections(events: DataFrame) -> DataFrame:
         pick(key % 3, SHIFTS).alias("shift"),
         F.to_date("ts").alias("inspection_date"),
         defect.alias("defect_type"),
-        (value / 10).alias("defect_rate_pct"),
+        F.floor(value).cast("double").alias("defect_rate_pct"),
         (30 + key % 170).cast("int").alias("inspected_qty"),
         (key % 33).cast("int").alias("scrap_qty"),
         (key % 21).cast("int").alias("rework_qty"),
-        (value / 4).alias("scrap_rate_pct"),
-        (value / 20).alias("rework_rate_pct"),
+        (F.floor(value) / 2).alias("scrap_rate_pct"),
+        (F.floor(value) / 4).alias("rework_rate_pct"),
         F.least(value / 50, F.lit(1.0)).alias("scrap_risk_probability"),
         ((key % 33) * 10).cast("double").alias("scrap_cost_eur"),
         scenario_of(week).alias("scenario"),
