@@ -12,7 +12,7 @@ from plantcast.operators import aggregates as agg
 from plantcast.operators import metrics, split
 from plantcast.operators.encode import DEFECT_CODES, SHIFT_CODES, apply_encoder, fit_encoder, fixed_code
 from plantcast.operators.keyed import latest_per_key
-from plantcast.operators.ordered import quantiles, rolling_mean
+from plantcast.operators.ordered import quantiles, rolling_means, weekly_lags, weekly_rolling
 from plantcast.plans import demand, scrap
 from plantcast.plans.reports import high_risk
 from plantcast.sources.schemas import KEYS, SCRAP_FEATURES
@@ -126,14 +126,14 @@ def agg_confusion_matrix(t):
 @query("win_rolling_machine", with_views("SELECT inspection_lot, round(rolling_scrap_4w_machine_id, 8) AS rolling_scrap_4w_machine_id FROM lot_load", "lot_load"))
 def win_rolling_machine(t):
     lots = t.scrap_quality().select("inspection_lot", "machine_id", "inspection_date", "scrap_rate_pct")
-    out = rolling_mean(lots, "scrap_rate_pct", "machine_id", "inspection_date", "inspection_lot", 4, "rolling_scrap_4w_machine_id")
+    out = rolling_means(lots, "scrap_rate_pct", {"rolling_scrap_4w_machine_id": "machine_id"}, ["inspection_date", "inspection_lot"], 4)
     return out.select("inspection_lot", rounded("rolling_scrap_4w_machine_id"))
 
 
 @query("win_rolling_shift", with_views("SELECT inspection_lot, round(rolling_scrap_4w_shift, 8) AS rolling_scrap_4w_shift FROM lot_load", "lot_load"))
 def win_rolling_shift(t):
     lots = t.scrap_quality().select("inspection_lot", "shift", "inspection_date", "scrap_rate_pct")
-    out = rolling_mean(lots, "scrap_rate_pct", "shift", "inspection_date", "inspection_lot", 4, "rolling_scrap_4w_shift")
+    out = rolling_means(lots, "scrap_rate_pct", {"rolling_scrap_4w_shift": "shift"}, ["inspection_date", "inspection_lot"], 4)
     return out.select("inspection_lot", rounded("rolling_scrap_4w_shift"))
 
 
@@ -154,8 +154,6 @@ def win_lot_load(t):
     FROM demand_forecast f LEFT JOIN material_replenishment r USING (week_no, material_no, scenario))
   WINDOW w AS (PARTITION BY material_no ORDER BY week_no)""", "demand_forecast", "material_replenishment"))
 def win_weekly_lags(t):
-    from plantcast.operators.ordered import weekly_lags, weekly_rolling
-
     df = demand.with_replenishment(t.demand_forecast(), t.material_replenishment())
     df = weekly_lags(df, "material_no", "week_no", {
         "stock_level_lag1": ("stock_level", 1), "stock_level_lag2": ("stock_level", 2), "shortage_prob_lag1": ("shortage_probability_replen", 1)})

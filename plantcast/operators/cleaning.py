@@ -24,9 +24,11 @@ def fill_constants(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     return df.na.fill(dict(values))
 
 
-def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Null becomes the mean of the column: one aggregate row, read back as a scalar subquery."""
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
+def fill_mean(df: DataFrame, columns: Sequence[str], over: DataFrame | None = None) -> DataFrame:
+    """Null becomes the mean of the column: one aggregate row, read back as a scalar subquery. ``over`` is a
+    narrower frame with the same values to average, when ``df`` is expensive."""
+    source = df if over is None else over
+    means = source.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in columns})
 
 

@@ -29,36 +29,44 @@ def _text_position(c: Column, skip: int) -> Column:
     return F.conv(window, 16, 10).cast("double")
 
 
-def _position(name: str, kind: T.DataType, low, high) -> Column:
-    """Number that never falls while the column rises; whole numbers for all but floating types."""
+def _position(c: Column, kind: T.DataType, low, high) -> Column:
+    """Number that never falls while the value rises; whole numbers for all but floating types."""
     if isinstance(kind, T.StringType):
-        return _text_position(F.col(name), len(os.path.commonprefix([low.encode(), high.encode()])))
+        return _text_position(c, len(os.path.commonprefix([low.encode(), high.encode()])))
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
+        return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
 
 
-def with_chunk(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, int]:
+def with_chunk(
+    df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, spread: float | None = None
+) -> tuple[DataFrame, int]:
     """Add an integer column that never falls along ``order`` (one or two columns without nulls).
 
     Returns the frame and the number of chunks asked for. Finding the cuts reads ``df`` twice, so an expensive
     frame should be written or checkpointed first. The cuts are quantiles of a numeric position; of two
     columns the first must be whole-numbered (date, integer, text) and the second adds a fraction below one.
+    When the first column is a hash spread evenly over ``[0, spread)``, equal steps of it serve as cuts and one
+    count is enough.
     """
     first, second = order[0], (order[1] if len(order) > 1 else None)
+    if spread is not None:
+        chunks = _chunk_count(df.count(), rows_per_chunk)
+        step = F.floor(F.col(first) / F.lit(spread / chunks)).cast("int")
+        return df.withColumn(CHUNK, step if chunks > 1 else F.lit(0)), chunks
     bounds = [f(c) for c in order for f in (F.min, F.max)]
     *ends, rows = df.agg(*bounds, F.count(F.lit(1))).first()
-    chunks = min(-(-rows // rows_per_chunk), MAX_CHUNKS)
-    if chunks <= 1:
+    chunks = _chunk_count(rows, rows_per_chunk)
+    if chunks == 1:
         return df.withColumn(CHUNK, F.lit(0)), 1
-    position = _position(first, df.schema[first].dataType, *ends[:2])
+    position = _position(F.col(first), df.schema[first].dataType, *ends[:2])
     if second:
         if isinstance(df.schema[first].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             raise ValueError(f"{first}: the leading order column must be whole-numbered")
-        inner = _position(second, df.schema[second].dataType, *ends[2:])
-        low, high = df.select(inner.alias("p")).agg(F.min("p"), F.max("p")).first()
+        kind = df.schema[second].dataType
+        inner, low, high = (_position(c, kind, *ends[2:]) for c in (F.col(second), F.lit(ends[2]), F.lit(ends[3])))
         position = position + (inner - low) / (high - low + 1) * 0.999
     placed = df.withColumn("_position", position)
     shares = [i / chunks for i in range(1, chunks)]
@@ -68,16 +76,21 @@ def with_chunk(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_P
     return binned.transform(placed).withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("_position"), chunks
 
 
+def _chunk_count(rows: int, rows_per_chunk: int) -> int:
+    return max(1, min(-(-rows // rows_per_chunk), MAX_CHUNKS))
+
+
 def running_before(
     df: DataFrame,
     order: Sequence[str],
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    spread: float | None = None,
 ) -> DataFrame:
     """Per row, the sum of each expression over all rows that come before it in ``order`` (unique within
     ``by``)."""
-    chunked, chunks = with_chunk(df, order, rows_per_chunk)
+    chunked, chunks = with_chunk(df, order, rows_per_chunk, spread)
     before = Window.unboundedPreceding, -1
     if chunks == 1:
         whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(*before)
@@ -140,6 +153,7 @@ def kth_row(
     k: Column,
     by: Sequence[str] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    spread: float | None = None,
 ) -> DataFrame:
     """The ``k``-th row (from 1) in an order without ties: one struct ``at`` of the order columns per group.
 
@@ -147,7 +161,7 @@ def kth_row(
     ``total``, the number of rows of the group. ``by`` is a class label or empty.
     """
     keyed = df.select(*by, *order)
-    chunked, chunks = with_chunk(keyed, order, rows_per_chunk)
+    chunked, chunks = with_chunk(keyed, order, rows_per_chunk, spread)
     if chunks == 1:
         sized = keyed.withColumns(
             {
@@ -174,45 +188,56 @@ def kth_row(
     )
 
 
-def rolling_mean(
+def rolling_means(
     df: DataFrame,
     value: str,
-    by: str,
-    order_col: str,
-    id_col: str,
+    means: Mapping[str, str],
+    order: Sequence[str],
     rows: int,
-    out: str,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Mean of the last ``rows`` rows per key in the order (order_col, id_col), fewer at the start.
+    """Mean of the last ``rows`` rows (fewer at the start) per key in ``order`` (date and id); ``means`` maps each
+    new column to its key.
 
     Rows are grouped by (key, chunk of the order), not by key alone, so three shifts do not mean three tasks.
     The first rows of a group take what they lack from the last rows of the groups before it.
     """
     if rows < 2:
-        return df.withColumn(out, F.col(value))
-    prior = rows - 1
-    group = [by, CHUNK]
-    chunked, chunks = with_chunk(df, [order_col, id_col], rows_per_chunk)
-    if chunks == 1:
-        last_rows = Window.partitionBy(by).orderBy(order_col, id_col).rowsBetween(-prior, 0)
-        return df.withColumn(out, F.avg(value).over(last_rows))
-    order = Window.partitionBy(*group).orderBy(order_col, id_col)
-
-    slim = chunked.select(*group, order_col, id_col, value)
-    last = slim.withColumn("_next", F.lead(id_col, prior).over(order)).where(F.col("_next").isNull())
-    tails = last.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order_col, id_col, value))).alias("_tail"))
-    before = Window.partitionBy(by).orderBy(CHUNK).rowsBetween(-prior, -1)
-    carried = tails.select(*group, F.flatten(F.collect_list("_tail").over(before))[value].alias("_carried"))
-
-    frame = order.rowsBetween(-prior, 0)
-    local = chunked.select(
+        return df.withColumns({out: F.col(value) for out in means})
+    chunked, chunks = with_chunk(df, order, rows_per_chunk)
+    result = chunked
+    for out, key in means.items():
+        if chunks == 1:
+            frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
+            result = result.withColumn(out, F.avg(value).over(frame))
+        else:
+            result = _rolling_by_chunk(result, _carried_rows(chunked, value, key, order, rows - 1), value, key, order, rows, out)
+    return result.drop(CHUNK)
+
+
+def _carried_rows(chunked: DataFrame, value: str, key: str, order: Sequence[str], prior: int) -> DataFrame:
+    """Per (key, chunk), the values of the last rows of up to ``prior`` chunks of the key before it."""
+    inside = Window.partitionBy(key, CHUNK).orderBy(*order)
+    slim = chunked.select(key, CHUNK, *order, value)
+    last = slim.withColumn("_next", F.lead(order[-1], prior).over(inside)).where(F.col("_next").isNull())
+    # At most ``prior`` rows are left per (key, chunk).
+    tails = last.groupBy(key, CHUNK).agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("_tail"))
+    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(-prior, -1)
+    return tails.select(key, CHUNK, F.flatten(F.collect_list("_tail").over(before))[value].alias("_carried"))
+
+
+def _rolling_by_chunk(
+    df: DataFrame, carried: DataFrame, value: str, key: str, order: Sequence[str], rows: int, out: str
+) -> DataFrame:
+    inside = Window.partitionBy(key, CHUNK).orderBy(*order)
+    frame = inside.rowsBetween(-(rows - 1), 0)
+    local = df.select(
         "*",
         F.coalesce(F.sum(value).over(frame), F.lit(0.0)).alias("_sum"),
         F.count(value).over(frame).alias("_count"),
-        F.row_number().over(order).alias("_rank"),
+        F.row_number().over(inside).alias("_rank"),
     )
-    joined = local.join(carried, group, "left")
+    joined = local.join(carried, [key, CHUNK], "left")
     lacking = F.greatest(F.lit(rows) - F.col("_rank"), F.lit(0))
     size = F.size("_carried")
     borrowed = F.filter(
@@ -222,7 +247,7 @@ def rolling_mean(
     borrowed_sum = F.when(known, F.aggregate(borrowed, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
     borrowed_count = F.when(known, F.size(borrowed)).otherwise(0)
     total, count = F.col("_sum") + borrowed_sum, F.col("_count") + borrowed_count
-    return joined.withColumn(out, F.try_divide(total, count)).drop(CHUNK, "_sum", "_count", "_rank", "_carried")
+    return joined.withColumn(out, F.try_divide(total, count)).drop("_sum", "_count", "_rank", "_carried")
 
 
 def weekly_lags(df: DataFrame, by: str, week: str, lags: Mapping[str, tuple[str, int]]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from plantcast.functions.columns import key_hash
 from plantcast.operators.ordered import ROWS_PER_CHUNK, kth_row, running_before
 
+HASH_SPREAD = 2.0**32
+
 
 def _before_or_at(at: Column, *order: str) -> Column:
     """Whether the row's order columns are not after the threshold; a null threshold admits nothing."""
@@ -39,7 +41,7 @@ def random_split(
     """Exactly ``n - ceil(share * n)`` training rows, the lowest by seeded hash of a unique key."""
     hashed = _hashed(df, key, seed)
     k = F.col("total") - F.ceil(F.lit(test_share) * F.col("total"))
-    at = kth_row(hashed, ["_h", key], k, rows_per_chunk=rows_per_chunk).select("at").scalar()
+    at = kth_row(hashed, ["_h", key], k, (), rows_per_chunk, HASH_SPREAD).select("at").scalar()
     return hashed.withColumn(out, _before_or_at(at, "_h", key)).drop("_h")
 
 
@@ -50,7 +52,7 @@ def stratified_split(
     """The same per class. Thresholds are one per class, read back as a map."""
     hashed = _hashed(df, key, seed)
     k = F.col("total") - F.ceil(F.lit(test_share) * F.col("total"))
-    found = kth_row(hashed, ["_h", key], k, (label,), rows_per_chunk)
+    found = kth_row(hashed, ["_h", key], k, (label,), rows_per_chunk, HASH_SPREAD)
     table = found.agg(F.map_from_entries(F.collect_list(F.struct(label, "at")))).scalar()
     at = F.try_element_at(table, F.col(label))
     return hashed.withColumn(out, _before_or_at(at, "_h", key)).drop("_h")
@@ -67,7 +69,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Fold sizes per class differ by at most one: position in hash order modulo the number of folds."""
     hashed = _hashed(df, key, seed)
-    placed = running_before(hashed, ["_h", key], {"_before": F.lit(1)}, (label,), rows_per_chunk)
+    placed = running_before(hashed, ["_h", key], {"_before": F.lit(1)}, (label,), rows_per_chunk, HASH_SPREAD)
     return placed.withColumn(out, (F.col("_before") % folds).cast("int")).drop("_h", "_before")
 
 

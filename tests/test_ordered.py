@@ -49,7 +49,7 @@ def rolling_brute(rows, width):
 def test_rolling_mean(spark, chunk, hot, nulls):
     rows = lots(1, 120, ["A", "B", "C"], 9, hot, nulls)
     df = spark.createDataFrame(rows, LOT)
-    got = {r.lot: r.m for r in ordered.rolling_mean(df, "v", "k", "d", "lot", 4, "m", chunk).collect()}
+    got = {r.lot: r.m for r in ordered.rolling_means(df, "v", {"m": "k"}, ["d", "lot"], 4, chunk).collect()}
     want = rolling_brute(rows, 4)
     assert got.keys() == want.keys()
     for lot, mean in want.items():
