@@ -14,7 +14,6 @@ ALERT_ESCALATE, ALERT_WARN = 0.60, 0.40
 SEVERITY_HIGH, SEVERITY_MEDIUM = 10.0, 5.0
 HIGH_CONFIDENCE = 0.7
 ALERT_ACTIONS = {"OK": "Log result only", "WARN": "Notify quality team", "ESCALATE": "Block order + escalate"}
-ALERT_RANGES = {"OK": "< 0.40 (< 40%)", "WARN": "0.40 - 0.60 (40% - 60%)", "ESCALATE": "> 0.60 (> 60%)"}
 RETRAIN_WEEKS, RETRAIN_AUC = 4, 0.80
 
 

@@ -23,14 +23,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by ``spark.checkpoint.dir`` (or set on the context); a temporary one only for local
+    sessions that have neither."""
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="plantcast-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

@@ -8,6 +8,7 @@ from plantcast.functions.columns import clip, exact_round, number_text, title_te
 from plantcast.functions.features import demand_features, overload_share, planning_expressions
 from plantcast.plans.scoring import decide_demand
 from plantcast.sources import records
+from plantcast.sources.schemas import INSPECTION_RECORD
 
 # Forecast, stock, replenishment, expected order quantity.
 ORDER_CASES = [(200.0, 50.0, 50.0, 100.0), (200.0, 250.0, 50.0, 0.0), (500.0, 100.0, 200.0, 200.0), (100.0, 150.0, 0.0, 0.0)]
@@ -128,7 +129,7 @@ def test_overload_share(spark):
     assert [r[0] for r in df.select(overload_share(F.col("u"))).collect()] == [0.0, 0.0, 0.5, 1.0]
 
 
-def inspection(spark, **changes):
+def record_values(**changes):
     record = dict(
         inspection_lot="IL-1", production_order_no=1, inspection_date=None, defect_rate_pct=12.5, scrap_rate_pct=8.2, rework_rate_pct=15.3,
         defect_type="Dimensional", shift="Night", inspected_qty=200, scrap_qty=16, rework_qty=31, scrap_cost_eur=850.5, machine_id="MC-02",
@@ -137,9 +138,11 @@ def inspection(spark, **changes):
         wc_overload_prob=0.42, order_overload_prob=0.55, throughput_deviation_pct=-12.3, material_no="M-1", material_group="Metal",
         rolling_scrap_4w_machine_id=9.1, rolling_scrap_4w_shift=10.8)
     record.update(changes)
-    from plantcast.sources.schemas import INSPECTION_RECORD
+    return tuple(record[n] for n in INSPECTION_RECORD.fieldNames())
+
 
-    return spark.createDataFrame([tuple(record[n] for n in INSPECTION_RECORD.fieldNames())], INSPECTION_RECORD)
+def inspection(spark, **changes):
+    return spark.createDataFrame([record_values(**changes)], INSPECTION_RECORD)
 
 
 @pytest.mark.parametrize("change, broken", [
