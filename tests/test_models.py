@@ -155,7 +155,7 @@ def test_three_targets_and_selection(spark):
     df = spark.createDataFrame(data, "grain_key string, v array<double>").coalesce(2)
     rows = df.select(
         "grain_key", array_to_vector("v").alias("features"), (F.col("v")[0] > 0.5).cast("double").alias("flag"), F.col("v")[1].alias("prob"),
-        (F.col("v")[2] * 100 - 20).alias("qty")).checkpoint()
+        (F.col("v")[2] * 100 - 20 + F.col("v")[1] * 30).alias("qty")).checkpoint()
     out = training.train_three_targets(rows, "flag", "prob", "qty", maxIter=8).transform(rows)
     assert out.where("pred_order_qty < 0 OR pred_shortage_prob NOT BETWEEN 0 AND 1").isEmpty()
     assert dict(out.dtypes)["pred_order_qty"] == "int"
