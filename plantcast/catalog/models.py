@@ -37,14 +37,15 @@ def scrap_training(t):
 
 
 def demand_models(t, df=None) -> scoring.DemandModels:
-    df = demand_training(t) if df is None else df
+    df = demand_training(t).checkpoint() if df is None else df
     forecast = training.train_forecast(df, **TREES)
     _, shortage, _ = training.train_shortage(df, **FOREST)
     return scoring.DemandModels(forecast.model, shortage, demand.demand_encoders(t.demand_forecast()))
 
 
 def scrap_models(t) -> scoring.ScrapModels:
-    df = scrap_training(t)
+    training.checkpoint_root(t.spark)
+    df = scrap_training(t).checkpoint()
     risk, pct = training.train_scrap_risk(df, **TREES), training.train_scrap_pct(df, **TREES)
     return scoring.ScrapModels(risk.model, pct.model, scrap.encoders_from(t))
 
@@ -91,7 +92,8 @@ def ml_train_scrap_pct(t):
   FROM features WHERE stock_level IS NOT NULL""", "features"))
 def ml_score_demand(t):
     """Trained, saved, loaded and applied to all records: what the rules fix must hold for every row."""
-    df = demand_training(t)
+    training.checkpoint_root(t.spark)
+    df = demand_training(t).checkpoint()
     path = work_path(t.spark, "demand-models")
     demand_models(t, df).save(t.spark, path)
     models = scoring.DemandModels.load(t.spark, path)

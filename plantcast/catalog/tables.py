@@ -40,9 +40,11 @@ AUDIT_COLUMNS = {"demand_forecast": 12, "material_replenishment": 10, "customer_
 
 
 @query("src_audit", with_views(
-    " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS n_rows, {AUDIT_COLUMNS[n]} AS n_columns FROM {n}" for n in AUDITED), *AUDITED))
+    " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS n_rows, {AUDIT_COLUMNS[n]} AS n_columns FROM {n}" for n in AUDITED)
+    + " UNION ALL SELECT 'joined', count(*), 44 FROM star", *AUDITED, "star"))
 def src_audit(t):
-    return tables.audit({name: getattr(t, name)() for name in AUDITED})
+    """Rows and columns of every source and of the joined table."""
+    return tables.audit({**{name: getattr(t, name)() for name in AUDITED}, "joined": demand.star_from(t)})
 
 
 _METRIC_SQL = with_views("""
