@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantcast.llm.id_files import read_id_files, write_id_files
+from plantcast.llm.packing import pack_documents
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from plantcast.llm.shared import read_table
 from plantcast.llm.simhash import fingerprint_hex, simhash_groups
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 @query("op9_simhash_bit_sliced")
 def op9_simhash_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
     found = simhash_groups(docs)
     return found.select("doc_id", fingerprint_hex(F.col("mark")).alias("fingerprint"), "component_id")
+
+
+@query("op8_pack_first_fit_decreasing")
+def op8_pack_first_fit_decreasing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    packed = pack_documents(docs, public_tokenizers.path(VOCABULARY), end_id=2)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op10_frequency_ranked_ids")
+def op10_frequency_ranked_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    path = write_id_files(docs, public_tokenizers.path(VOCABULARY), end_id=1)
+    read = read_id_files(spark, path)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
