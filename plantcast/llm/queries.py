@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantcast.llm.id_files import read_id_files, write_id_files
+from plantcast.llm.mixing import mix, mix_table
 from plantcast.llm.packing import pack_documents
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
-from plantcast.llm.shared import read_table
+from plantcast.llm.secrets import KINDS, count_kind, find_secrets
+from plantcast.llm.shared import read_table, stored
 from plantcast.llm.simhash import fingerprint_hex, simhash_groups
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op3_mix_sources_by_weight")
+def op3_mix_sources_by_weight(spark: SparkSession, folder: str) -> DataFrame:
+    table = stored(mix_table(read_table(spark, folder, "documents", ["doc_id", "text", "source"])), "mix")
+    mixed = mix(table, table)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op9_simhash_bit_sliced")
 def op9_simhash_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
@@ -22,6 +31,13 @@ def op9_simhash_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+@query("op7_secret_grammar_inference")
+def op7_secret_grammar_inference(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(read_table(spark, folder, "documents", ["doc_id", "text"]))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op8_pack_first_fit_decreasing")
 def op8_pack_first_fit_decreasing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
