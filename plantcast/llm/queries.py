@@ -13,6 +13,7 @@ from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from plantcast.llm.secrets import KINDS, count_kind, find_secrets
 from plantcast.llm.shared import read_table, stored
 from plantcast.llm.simhash import fingerprint_hex, simhash_groups
+from plantcast.llm.toxicity import fit_severity, labelled_sample, score_toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,6 +32,15 @@ def op9_simhash_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+@query("op6_toxicity_ordinal_regression")
+def op6_toxicity_ordinal_regression(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    labels = read_table(spark, folder, "labels", ["doc_id", "toxic"])
+    scored = score_toxicity(docs, fit_severity(labelled_sample(docs, labels)))
+    kept = (~F.col("toxic")).alias("kept")
+    return scored.select("doc_id", "toxic_chance", "severity", F.round("severity").cast("int").alias("grade"), "toxic", kept)
+
+
 @query("op7_secret_grammar_inference")
 def op7_secret_grammar_inference(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(read_table(spark, folder, "documents", ["doc_id", "text"]))
