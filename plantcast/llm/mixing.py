@@ -126,18 +126,27 @@ def mix(rows: DataFrame, table: DataFrame, weights: Sequence[float] = WEIGHTS, m
     return joined.withColumn("copies", copies).drop("_source", "passes", "at", "bucket")
 
 
-def mix_table(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """``key``, ``source``, ``size``, ``order`` and ``draw`` of every row of ``docs``.
+def with_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
+    """Each row as the struct ``doc``, with ``source``, ``size``, ``draw`` and ``order``.
 
     Rows with equal key and text draw the same key and share one fate; null keys, texts and sources are values like any
     other. Rows without words have size 0 and are taken no times beyond their source's complete passes.
     """
-    return with_keys(docs, key, text, source, seed).select(F.col("_key").alias(key), F.col("_source").alias("source"), "size", "order", "draw")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    measured = whole.withColumn("_m", words_and_quality(F.col(f"doc.{text}")))
+    keys = sampling_key([F.col(f"doc.{key}"), F.col(f"doc.{text}")], F.col("_m.quality"), seed)
+    return measured.select("doc", F.col(f"doc.{source}").alias("source"), F.col("_m.size").alias("size"), *[c.alias(n) for n, c in keys.items()])
 
 
-def with_keys(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    measured = docs.withColumn("_m", words_and_quality(F.col(text)))
-    keys = sampling_key([F.col(key), F.col(text)], F.col("_m.quality"), seed)
-    return measured.select(
-        *docs.columns, F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("_m.size").alias("size"), *[c.alias(n) for n, c in keys.items()]
-    )
+def mix_table(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
+    """Without the texts: ``key``, ``source``, ``size``, ``draw`` and ``order`` of every row."""
+    keyed = with_keys(docs.select(key, text, source), key, text, source, seed)
+    return keyed.select(F.col(f"doc.{key}").alias("key"), "source", "size", "draw", "order")
+
+
+def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in the same columns."""
+    table = stored(mix_table(docs, key, text, source, seed), "mix")
+    mixed = mix(with_keys(docs, key, text, source, seed), table)
+    times = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
+    return mixed.where(F.col("copies") > 0).select("doc", F.explode(times)).select("doc.*")

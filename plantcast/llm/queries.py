@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 def op3_mix_sources_by_weight(spark: SparkSession, folder: str) -> DataFrame:
     table = stored(mix_table(read_table(spark, folder, "documents", ["doc_id", "text", "source"])), "mix")
     mixed = mix(table, table)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 @query("op9_simhash_bit_sliced")

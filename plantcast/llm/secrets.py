@@ -290,3 +290,10 @@ def redact(text: Column, spans: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return hide(text, spans)
+
+
+def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every stretch covered by a span replaced in ``text``."""
+    models = learn(labelled_secrets(docs, text))
+    hidden = redact(F.col(text), secret_spans(F.col(text), models)["spans"])
+    return docs.withColumn(text, hidden)

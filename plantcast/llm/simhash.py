@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.llm.components import components
-from plantcast.llm.shared import group_count, salted_lookup, stored
+from plantcast.llm.shared import SALTS, group_count, salted_lookup, stored
 
 BITS = 64
 SEED = 42
@@ -181,7 +181,14 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     Equal fingerprints are one node, whatever the number of rows. Rows without words have fingerprint 0 and link
     like any other. Repeated rows stay. Rows with a null key take part; a component of only such rows has id null.
     """
-    marked = stored(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("mark")), "marks")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    rows = docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("mark"), salt.alias("salt"))
+    marked = stored(rows, "marks")
+    return _with_components(marked, radius).select(F.col("_key").alias(key), "mark", "component_id")
+
+
+def _with_components(marked: DataFrame, radius: int) -> DataFrame:
+    """``marked`` (``_key``, ``mark``, ``salt``; written, so that salts are fixed) with ``component_id``."""
     nodes = stored(marked.groupBy("mark").agg(F.min("_key").alias("first")), "fingerprints")
     linked = stored(components(mark_links(nodes.select("mark"), radius)), "linked")
     joined = nodes.join(linked, nodes["mark"] == linked["node"]).select("mark", "first", "component")
@@ -190,5 +197,26 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     table = nodes.join(merged, nodes["mark"] == merged["node"], "left").select(
         "mark", F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("lowest")).alias("component_id")
     )
-    found = salted_lookup(marked, table, "mark", F.monotonically_increasing_id())
-    return found.select(F.col("_key").alias(key), "mark", "component_id")
+    return salted_lookup(marked, table, "mark", F.col("salt"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group left: the one with the smallest key, nulls last, ties by a hash of the row.
+
+    Rows equal in all columns are one row as far as the choice goes, and one of them stays. The rows to drop are a
+    written table of keys, so texts are shuffled only where that table is too large to broadcast.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    own = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(*columns).alias("h"), F.hash(*columns).alias("g"))
+    keyed = docs.select(F.struct(*columns).alias("doc"), own.alias("own"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    marked = stored(keyed.select(F.col("own").alias("_key"), fingerprint(F.col(f"doc.{text}"), shingle).alias("mark"), salt.alias("salt")), "marks")
+    found = _with_components(marked, radius)
+    chosen = F.col("_key").eqNullSafe(F.col("component_id"))
+    sizes = found.groupBy(F.col("_key").alias("at"), chosen.alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
+    affected = stored(sizes.where(~F.col("chosen") | (F.col("rows") > 1)).select("at", "chosen"), "affected")
+    # Only groups with several rows are in the table; all others pass.
+    placed = keyed.join(affected, F.col("own").eqNullSafe(F.col("at")), "left")
+    single = placed.where(F.col("chosen").isNull()).select("doc")
+    repeated = placed.where(F.col("chosen")).select("own", "doc").dropDuplicates(["own"]).select("doc")
+    return single.union(repeated).select("doc.*")
