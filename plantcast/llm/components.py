@@ -55,3 +55,14 @@ def components(pairs: DataFrame) -> DataFrame:
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.union(roots)
+
+
+def smallest_keys(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node`` and ``component_id``, the least ``first`` of all nodes reachable over ``pairs``. ``nodes`` (``node``, ``first``) is a
+    written table with one row per node; nulls in ``first`` lose to any value."""
+    linked = stored(components(pairs), "linked").withColumnRenamed("node", "_n")
+    joined = nodes.select("node", "first").join(linked, F.col("node") == F.col("_n")).drop("_n")
+    lowest = joined.groupBy("component").agg(F.min("first").alias("lowest"))
+    merged = salted_lookup(joined, lowest, "component", F.col("node")).select(F.col("node").alias("_n"), "lowest")
+    own = F.when(F.col("_n").isNull(), F.col("first")).otherwise(F.col("lowest"))
+    return nodes.select("node", "first").join(merged, F.col("node") == F.col("_n"), "left").select("node", own.alias("component_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantcast.llm.id_files import read_id_files, write_id_files
+from plantcast.llm.lattice import near_vectors
 from plantcast.llm.mixing import mix, mix_table
 from plantcast.llm.packing import pack_documents
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -32,6 +33,11 @@ def op9_simhash_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+@query("op4_lattice_near_vectors")
+def op4_lattice_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(read_table(spark, folder, "embeddings", ["vec_id", "embedding", "label"]))
+
+
 @query("op6_toxicity_ordinal_regression")
 def op6_toxicity_ordinal_regression(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])

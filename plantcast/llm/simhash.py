@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.components import components
+from plantcast.llm.components import smallest_keys
 from plantcast.llm.shared import SALTS, group_count, salted_lookup, stored
 
 BITS = 64
@@ -189,14 +189,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 def _with_components(marked: DataFrame, radius: int) -> DataFrame:
     """``marked`` (``_key``, ``mark``, ``salt``; written, so that salts are fixed) with ``component_id``."""
-    nodes = stored(marked.groupBy("mark").agg(F.min("_key").alias("first")), "fingerprints")
-    linked = stored(components(mark_links(nodes.select("mark"), radius)), "linked")
-    joined = nodes.join(linked, nodes["mark"] == linked["node"]).select("mark", "first", "component")
-    lowest = joined.groupBy("component").agg(F.min("first").alias("lowest"))
-    merged = salted_lookup(joined, lowest, "component", F.col("mark")).select(F.col("mark").alias("node"), "lowest")
-    table = nodes.join(merged, nodes["mark"] == merged["node"], "left").select(
-        "mark", F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("lowest")).alias("component_id")
-    )
+    nodes = stored(marked.groupBy(F.col("mark").alias("node")).agg(F.min("_key").alias("first")), "fingerprints")
+    pairs = mark_links(nodes.select(F.col("node").alias("mark")), radius)
+    table = smallest_keys(nodes, pairs).withColumnRenamed("node", "mark")
     return salted_lookup(marked, table, "mark", F.col("salt"))
 
 
