@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plantcast.llm.id_files import read_id_files, write_id_files
 from plantcast.llm.lattice import near_vectors
 from plantcast.llm.mixing import mix, mix_table
+from plantcast.llm.neighbours import nearest
 from plantcast.llm.packing import pack_documents
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from plantcast.llm.secrets import KINDS, count_kind, find_secrets
@@ -38,6 +39,11 @@ def op4_lattice_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(read_table(spark, folder, "embeddings", ["vec_id", "embedding", "label"]))
 
 
+@query("op5_nn_descent_search")
+def op5_nn_descent_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(read_table(spark, folder, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0)
+
+
 @query("op6_toxicity_ordinal_regression")
 def op6_toxicity_ordinal_regression(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
