@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantcast.llm.shared import group_count, stored
+from plantcast.llm.shared import group_count, stored, text_batches
 from plantcast.llm.tokens import word_ids
 from plantcast.session import work_path
 
@@ -136,6 +136,7 @@ def write_id_files(
     vocabulary = word_ids(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
     vocabulary = max(vocabulary, end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    text_batches(spark)
     rows = docs.select(
         F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row")
     )

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantcast.llm.shared import stored
+from plantcast.llm.shared import stored, text_batches
 
 BUCKETS = 1 << 14
 WEIGHTS = (5, 2, 1)
@@ -132,6 +132,7 @@ def with_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     Rows with equal key and text draw the same key and share one fate; null keys, texts and sources are values like any
     other. Rows without words have size 0 and are taken no times beyond their source's complete passes.
     """
+    text_batches(docs.sparkSession)
     whole = docs.select(F.struct(*docs.columns).alias("doc"))
     measured = whole.withColumn("_m", words_and_quality(F.col(f"doc.{text}")))
     keys = sampling_key([F.col(f"doc.{key}"), F.col(f"doc.{text}")], F.col("_m.quality"), seed)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.shared import group_count
+from plantcast.llm.shared import group_count, text_batches
 from plantcast.llm.tokens import word_ids
 
 CAPACITY = 4096
@@ -97,6 +97,7 @@ def pack_documents(
     Every document ends with ``end_id``; null and blank texts consist of it alone. Pieces of a repeated key or row are
     separate pieces and spread over the groups like any others. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     kind = rows.schema["key"].dataType.simpleString()

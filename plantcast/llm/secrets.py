@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantcast.llm.shared import stored, text_batches
+
 KINDS = ("assign", "access", "hex")
 LEARNED = "format"
 SAMPLE = 1500
@@ -238,8 +240,9 @@ def labelled_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE)
             rows = [(k, t.decode()) for raw in pdf["text"] for _, _, k, t in base_matches(raw or b"") if len(t) <= LONGEST_LEARNED]
             yield pd.DataFrame(rows, columns=["kind", "secret"])
 
+    text_batches(docs.sparkSession)
     found = docs.select(F.col(text).cast("binary").alias("text")).mapInPandas(secrets, "kind string, secret string")
-    found = found.distinct().withColumn("h", F.xxhash64("kind", "secret"))
+    found = stored(found.distinct().withColumn("h", F.xxhash64("kind", "secret")), "credentials")
     # Kinds are three; each keeps a bounded number of rows.
     picked = [found.where(F.col("kind") == k).orderBy("h", "secret").limit(sample) for k in KINDS]
     return [(r["kind"], r["secret"]) for r in picked[0].union(picked[1]).union(picked[2]).collect()]
@@ -271,29 +274,28 @@ def find_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
     return found.withColumns({"base": F.col("_found.base"), "spans": F.col("_found.spans")}).drop("_found")
 
 
-def redact(text: Column, spans: Column) -> Column:
+def redacted(raw: bytes | None, models: dict) -> str | None:
     """The text with each stretch covered by spans replaced by ``[secret]``."""
-
+    if raw is None:
+        return None
+    text, spans = raw.decode(), scan_text(raw, models)[1]
+    parts, at = [], 0
+    for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+        if s >= at:
+            parts += [text[at:s], "[secret]"]
+        at = max(at, e)
+    return "".join(parts) + text[at:]
+
+
+def redact(text: Column, models: dict) -> Column:
     @F.pandas_udf("string")
-    def hide(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(texts, found):
-            if t is not None and spans:
-                pairs = sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(","))
-                parts, at = [], 0
-                for s, e in pairs:
-                    if s >= at:
-                        parts += [t[at:s], "[secret]"]
-                    at = max(at, e)
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return hide(text, spans)
+    def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([redacted(t, models) for t in texts], dtype=object)
+
+    return hide(text.cast("binary"))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every stretch covered by a span replaced in ``text``."""
-    models = learn(labelled_secrets(docs, text))
-    hidden = redact(F.col(text), secret_spans(F.col(text), models)["spans"])
-    return docs.withColumn(text, hidden)
+    return docs.withColumn(text, redact(F.col(text), learn(labelled_secrets(docs, text))))

@@ -13,6 +13,8 @@ from plantcast.session import work_path
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE_CLASS}]+"
 SALTS = 64
+TEXT_ROWS = 1000
+TEXT_BYTES = 8 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +41,13 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, s
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of whole texts holds, on both sides of the Python workers: ``TEXT_ROWS`` rows and
+    ``TEXT_BYTES``. Spark's own bounds let a batch take 64 MB, several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+
+
 def group_count(rows: int, per_group: int) -> int:
     """Number of groups that hold about ``per_group`` rows each."""
     return max(1, -(-rows // per_group))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.llm.components import smallest_keys
-from plantcast.llm.shared import SALTS, group_count, salted_lookup, stored
+from plantcast.llm.shared import SALTS, group_count, salted_lookup, stored, text_batches
 
 BITS = 64
 SEED = 42
@@ -181,6 +181,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     Equal fingerprints are one node, whatever the number of rows. Rows without words have fingerprint 0 and link
     like any other. Repeated rows stay. Rows with a null key take part; a component of only such rows has id null.
     """
+    text_batches(docs.sparkSession)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
     rows = docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("mark"), salt.alias("salt"))
     marked = stored(rows, "marks")
@@ -204,6 +205,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     columns = [F.col(c) for c in docs.columns]
     own = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(*columns).alias("h"), F.hash(*columns).alias("g"))
     keyed = docs.select(F.struct(*columns).alias("doc"), own.alias("own"))
+    text_batches(docs.sparkSession)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
     marked = stored(keyed.select(F.col("own").alias("_key"), fingerprint(F.col(f"doc.{text}"), shingle).alias("mark"), salt.alias("salt")), "marks")
     found = _with_components(marked, radius)

@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 # Words remembered by one Python worker. The table is emptied when full; ids do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
 _PROBE = "A b's  don't\tÉtÉ... x1 Ünï!?\x0b<|endoftext|>y <|END, 'll z ** 12,3"
 

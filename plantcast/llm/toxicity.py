@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.llm.shared import stored
+from plantcast.llm.shared import stored, text_batches
 
 FIT_ROWS = 12_000
 FEATURES = 4096
 LEAST_ROWS = 8
 BEGINNINGS = (4, 5, 6)
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 TOXIC_FROM = 0.5
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -181,6 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
     """``docs`` with ``toxic_chance``, ``severity`` and ``toxic``; existing columns of these names are replaced. Null and blank
     texts have no features; repeated rows get equal scores."""
+    text_batches(docs.sparkSession)
     scored = docs.withColumn("_s", severity(F.col(text), model))
     return scored.withColumns(
         {"toxic_chance": F.col("_s.toxic_chance"), "severity": F.col("_s.severity"), "toxic": F.col("_s.toxic_chance") >= TOXIC_FROM}
