@@ -16,10 +16,31 @@ from plantcast.llm.secrets import KINDS, count_kind, find_secrets
 from plantcast.llm.shared import read_table, stored
 from plantcast.llm.simhash import fingerprint_hex, simhash_groups
 from plantcast.llm.toxicity import fit_severity, labelled_sample, score_toxicity
+from plantcast.llm.warc import archive_round_trip, page_key
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+# Base32 of the digest: each five hexadecimal digits are four digits of base 32.
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(encode(coalesce(html, '')))) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h, array_to_string([
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)] FOR i IN range(32)
+], '') AS payload_digest, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM d
+"""
+
+
+@query("op1_warc_segments", WARC_SQL)
+def op1_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    read = archive_round_trip(read_table(spark, folder, "pages", ["page_id", "url", "html"]))
+    return read.select(
+        page_key(F.col("id")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+        page_key(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
 @query("op3_mix_sources_by_weight")
 def op3_mix_sources_by_weight(spark: SparkSession, folder: str) -> DataFrame:
     table = stored(mix_table(read_table(spark, folder, "documents", ["doc_id", "text", "source"])), "mix")
