@@ -11,6 +11,7 @@ from plantcast.llm.lattice import near_vectors
 from plantcast.llm.mixing import mix, mix_table
 from plantcast.llm.neighbours import nearest
 from plantcast.llm.packing import pack_documents
+from plantcast.llm.pii import replace_entities
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from plantcast.llm.secrets import KINDS, count_kind, find_secrets
 from plantcast.llm.shared import read_table, stored
@@ -19,6 +20,8 @@ from plantcast.llm.toxicity import fit_severity, labelled_sample, score_toxicity
 from plantcast.llm.warc import archive_round_trip, page_key
 
 VOCABULARY = "word_bpe_49k.json"
+# Key of the registered query; a real run takes its own from a secret store.
+SURROGATE_KEY = b"registered query"
 
 
 # Base32 of the digest: each five hexadecimal digits are four digits of base 32.
@@ -41,6 +44,12 @@ def op1_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_pii_surrogates")
+def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    return replace_entities(docs, SURROGATE_KEY).select("doc_id", "n_entities", "spans", "text")
+
+
 @query("op3_mix_sources_by_weight")
 def op3_mix_sources_by_weight(spark: SparkSession, folder: str) -> DataFrame:
     table = stored(mix_table(read_table(spark, folder, "documents", ["doc_id", "text", "source"])), "mix")
