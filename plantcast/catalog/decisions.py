@@ -85,6 +85,7 @@ _NUMBERS = """SELECT 'classifier' AS target, 'accuracy' AS metric, avg(CASE WHEN
   UNION ALL SELECT 'probability', 'mae', avg(abs(actual_shortage_prob - pred_shortage_prob)) FROM predictions
   UNION ALL SELECT 'probability', 'r2', 1 - sum(pow(a - p, 2)) / sum(pow(a - m, 2)) FROM (SELECT actual_shortage_prob AS a, pred_shortage_prob AS p, avg(actual_shortage_prob) OVER () AS m FROM predictions)
   UNION ALL SELECT 'order_qty', 'mae', avg(abs(actual_order_qty - pred_order_qty)) FROM predictions
+  UNION ALL SELECT 'order_qty', 'mape', avg(abs(actual_order_qty - pred_order_qty) / greatest(abs(actual_order_qty), 2.220446049250313e-16)) FROM predictions
   UNION ALL SELECT 'order_qty', 'r2', 1 - sum(pow(a - p, 2)) / sum(pow(a - m, 2)) FROM (SELECT actual_order_qty AS a, pred_order_qty AS p, avg(actual_order_qty) OVER () AS m FROM predictions)"""
 
 
@@ -156,12 +157,13 @@ def report_high_risk(t):
 
 @query("report_accuracy", with_views(f"""
   SELECT target, metric, CASE WHEN target = 'classifier' THEN printf('%.1f', value * 100) || '%' WHEN target = 'order_qty' AND metric = 'mae' THEN printf('%.2f', value) || ' units'
-      ELSE printf('%.4f', value) END AS text,
+      WHEN metric = 'mape' THEN printf('%.2f', value * 100)[:9] || ' of ' || length(printf('%.2f', value * 100) || '%') ELSE printf('%.4f', value) END AS text,
     CASE target WHEN 'classifier' THEN 'Classifier' WHEN 'probability' THEN 'Probability' ELSE 'Order Qty' END AS target_label,
-    CASE metric WHEN 'f1_score' THEN 'F1 Score' ELSE upper(metric[1]) || metric[2:] END AS metric_label FROM ({_NUMBERS})""", "predictions"))
+    CASE metric WHEN 'f1_score' THEN 'F1 Score' WHEN 'mape' THEN 'Mape' ELSE upper(metric[1]) || metric[2:] END AS metric_label FROM ({_NUMBERS})""", "predictions"))
 def report_accuracy(t):
-    """Texts of all metrics but the percentage error, whose published divisor makes it astronomically large here."""
-    return reports.accuracy_summary(t.predictions()).where("metric <> 'mape'")
+    """The percentage error is astronomically large here: its first digits and its length stand for its text."""
+    long = F.concat(F.substring("text", 1, 9), F.lit(" of "), F.length("text"))
+    return reports.accuracy_summary(t.predictions()).withColumn("text", F.when(F.col("metric") == "mape", long).otherwise(F.col("text")))
 
 
 @query("report_shortage_cases", with_views("""
@@ -184,11 +186,16 @@ def report_summary(t):
 
 
 @query("report_metric_table", with_views(f"""
-  SELECT target AS model, metric, printf('%.4f', value)::DOUBLE AS value FROM ({_NUMBERS}) WHERE target <> 'classifier' AND metric <> 'mape'""", "predictions"))
+  SELECT target AS model, metric, CASE WHEN metric = 'mape' THEN round(value / pow(10, floor(log10(value))), 6) ELSE printf('%.4f', value)::DOUBLE END AS value FROM ({_NUMBERS})""", "predictions"))
 def report_metric_table(t):
-    """Long metric table, rounded to four decimals."""
-    numbers = reports.accuracy_numbers(t.predictions()).where("target <> 'classifier' AND metric <> 'mape'")
-    return numbers.select(F.col("target").alias("model"), "metric", exact_round(F.col("value"), 4).alias("value"))
+    """Long metric table, rounded to four decimals; of the percentage error, far above one here, the leading digits."""
+    numbers = reports.accuracy_numbers(t.predictions())
+    return numbers.select(F.col("target").alias("model"), "metric", _shown(F.col("metric"), F.col("value")).alias("value"))
+
+
+def _shown(metric, value):
+    leading = F.round(value / F.pow(F.lit(10.0), F.floor(F.log10(value))), 6)
+    return F.when(metric == "mape", leading).otherwise(exact_round(value, 4))
 
 
 # Decision steps after the models.

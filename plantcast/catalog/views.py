@@ -56,9 +56,9 @@ view("material_replenishment", f"""
     {flag('stock_level < replenishment_order_qty')} AS shortage_flag, ((k * 7 + week_no) % 100) / 100 AS shortage_probability,
     {scenario('week_no')} AS scenario
   FROM (SELECT {week('l_shipdate')} AS week_no, l_partkey AS k,
-          CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS INTEGER) AS stock_level,
-          CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS INTEGER) AS replenishment_order_qty
-        FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)""")
+          CAST(sum(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS INTEGER) AS stock_level,
+          CAST(sum(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS INTEGER) AS replenishment_order_qty
+        FROM lineitem GROUP BY 1, 2)""")
 view("order_lines", f"""
   SELECT *, {week('l_shipdate')} AS week_no, abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) AS days
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantcast.operators.ordered import ROWS_PER_CHUNK, quantiles
+from plantcast.operators.ordered import quantiles
 from plantcast.sources.schemas import KEYS
 
 WEEK_KEYS = ("week_no", "scenario")
@@ -52,37 +52,29 @@ def work_centres_by_week(utilization: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], chunks: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (exact) and max; one row per column."""
-    out = None
-    for name in columns:
-        value = F.col(name).cast("double")
-        single = df.select(value.alias("v"))
-        basic = single.agg(
-            F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"), F.max("v").alias("max"),
-        )
-        quarters = quantiles(single, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_chunk=rows_per_chunk)
-        box = quarters.select(F.struct("q25", "q50", "q75").alias("q")).scalar()
-        row = basic.select(
-            F.lit(name).alias("column_name"), "n", "mean", "std", "min",
-            *[box.getField(q).alias(q) for q in ("q25", "q50", "q75")], "max",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.explode(values).alias("p")).select("p.*")
+    basic = long.groupBy("column_name").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    quarters = quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column_name"], chunks)
+    return basic.join(quarters, "column_name", "left").select("column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and share of every class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    # One row per class.
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def group_share_pct(df: DataFrame, key: str, counted: str, out: str) -> DataFrame:
     """Rows of each group as a percentage of all rows, one row per group."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.groupBy(key).agg(F.count(counted).alias("_n")).select(key, (F.col("_n") / total * 100).alias(out))
+    counts = df.groupBy(key).agg(F.count(counted).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy())
+    return counts.select(key, (F.col("_n") / total * 100).alias(out))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -34,9 +34,10 @@ def fill_mean(df: DataFrame, columns: Sequence[str], over: DataFrame | None = No
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null becomes the exact median of the column."""
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), quantiles(df, c, {"median": 0.5}).scalar()) for c in columns}
-    )
+    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    medians = quantiles(df.select(F.explode(values).alias("p")).select("p.*"), "v", {"median": 0.5}, ["name"])
+    row = medians.agg(F.struct(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns]).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), row.getField(c)) for c in columns})
 
 
 def median_imputer(columns: Sequence[str], relative_error: float = 0.001) -> Imputer:

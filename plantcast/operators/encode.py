@@ -7,8 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantcast.operators.joins import checked_broadcast
-from plantcast.operators.ordered import ROWS_PER_CHUNK, running_before
+from plantcast.operators.ordered import running_before
 
 # Codes of shifts and defect types.
 SHIFT_CODES = {"Morning": 0, "Afternoon": 1, "Night": 2}
@@ -17,16 +16,16 @@ DEFECT_CODES = {
 }
 
 
-def fit_encoder(df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def fit_encoder(df: DataFrame, column: str, chunks: int | None = None) -> DataFrame:
     """Codes 0, 1, ... by sorted distinct value; nulls have no code."""
     values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    coded = running_before(values, ["value"], {"code": F.lit(1)}, rows_per_chunk=rows_per_chunk)
+    coded = running_before(values, ["value"], {"code": F.lit(1)}, chunks=chunks)
     return coded.select("value", F.col("code").cast("int").alias("code"))
 
 
 def apply_encoder(df: DataFrame, encoder: DataFrame, column: str, out: str, unknown: int = 0) -> DataFrame:
     """Add the code of a column; unseen values (and nulls) get ``unknown``."""
-    codes = checked_broadcast(encoder.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
+    codes = encoder.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
     joined = df.join(codes, F.col(column).cast("string") == F.col("_value"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(unknown))).drop("_value", "_code")
 

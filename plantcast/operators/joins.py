@@ -1,8 +1,8 @@
 """Joins of the star schema.
 
 File-backed dimensions are joined without a hint: Spark knows their size and broadcasts below its limit;
-above it, the shuffle join is split on hot keys by adaptive execution. Derived small frames are broadcast only
-after :func:`checked_broadcast` has counted them.
+above it, the shuffle join is split on hot keys by adaptive execution. The same holds for derived frames, whose bytes
+adaptive execution knows at run time.
 """
 
 from __future__ import annotations
@@ -12,24 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the frame has at most ``max_rows`` rows; unchanged otherwise."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def left_lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join with only the wanted columns of the other side."""
     return df.join(dim.select(*on, *columns), list(on), "left")
 
 
-def left_lookup_small(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join with a derived frame of few rows, checked before it is broadcast."""
-    return df.join(checked_broadcast(small), list(on), "left")
-
-
 def left_lookup_renamed(df: DataFrame, dim: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left join on differently named keys; both keys stay."""
     return df.join(dim, F.col(left_key) == F.col(right_key), "left")

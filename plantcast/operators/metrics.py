@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.functions.columns import exact_round
-from plantcast.operators.ordered import ROWS_PER_CHUNK, running_before
+from plantcast.operators.ordered import running_before
 
 # Fixed value: smallest divisor of the percentage error.
 PERCENT_EPSILON = 2.220446049250313e-16
@@ -75,12 +75,13 @@ def binary_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, actual: str, score: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def roc_auc(df: DataFrame, actual: str, score: str, chunks: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half. Equal scores are merged first; the running count
-    of negatives below a score is built from chunks of scores."""
+    of negatives below a score is built from chunks of scores. Rows without a label or a score are left out."""
     positive = F.col(actual) == 1
-    counts = df.groupBy(score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    placed = running_before(counts, [score], {"neg_below": F.col("neg")}, rows_per_chunk=rows_per_chunk)
+    known = df.where(F.col(actual).isNotNull() & F.col(score).isNotNull())
+    counts = known.groupBy(score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    placed = running_before(counts, [score], {"neg_below": F.col("neg")}, chunks=chunks)
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2))
     return placed.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 

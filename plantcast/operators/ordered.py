@@ -1,137 +1,84 @@
 """Operations that need an order over many rows, without one task ever holding a whole group.
 
-A key may own a third of all rows, and a global order has no key at all. The order column is therefore
-cut at approximate quantiles into chunks of at least ``rows_per_chunk`` rows. Rows are shuffled by chunk, and
-what one chunk needs from the ones before it (a running total, the last few rows) travels as a small
-summary per chunk. The cuts only steer the balance; results do not depend on them.
+A key may own a third of all rows, and a global order has no key at all. Rows are therefore dealt to range partitions of all
+order columns, and the number of its partition, the chunk, is written with each row: range bounds are sampled, so they would
+differ from one evaluation to the next. What a chunk needs from the ones before it (a running total, the last few rows) travels
+as a small summary per chunk. There is one path for every size; how many chunks there are changes nothing in the results.
+
+Null order values come first. Groups of a null key are groups like any other, unless a function says otherwise.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_CHUNK = 20_000
-# The cuts are a list on the driver, so their number is bounded; beyond it the chunks grow with the data.
-MAX_CHUNKS = 10_000
+from plantcast.session import work_path
+
 CHUNK = "_chunk"
 
 
-def _text_position(c: Column, skip: int) -> Column:
-    """Number that grows with the text: its six bytes after a common prefix of ``skip`` bytes."""
-    digits = F.hex(F.encode(c, "UTF-8"))
-    window = F.rpad(F.substring(digits, 2 * skip + 1, 12), 12, "0")
-    return F.conv(window, 16, 10).cast("double")
+def _ascending(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
 
 
-def _position(c: Column, kind: T.DataType, low, high) -> Column:
-    """Number that never falls while the value rises; whole numbers for all but floating types."""
-    if isinstance(kind, T.StringType):
-        return _text_position(c, len(os.path.commonprefix([low.encode(), high.encode()])))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
+def with_chunk(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder with an integer column that never falls along ``order``; by default there are as
+    many chunks as shuffle partitions. This write is the only job that an ordered operation runs while it is built."""
+    spark = df.sparkSession
+    number = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.repartitionByRange(number, *_ascending(order)).withColumn(CHUNK, F.spark_partition_id())
+    path = work_path(spark, "chunks")
+    marked.write.parquet(path)
+    return spark.read.schema(marked.schema).parquet(path)
 
 
-def with_chunk(
-    df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, spread: float | None = None
-) -> tuple[DataFrame, int]:
-    """Add an integer column that never falls along ``order`` (one or two columns without nulls).
-
-    Returns the frame and the number of chunks asked for. Finding the cuts reads ``df`` twice, so an expensive
-    frame should be written or checkpointed first. The cuts are quantiles of a numeric position; of two
-    columns the first must be whole-numbered (date, integer, text) and the second adds a fraction below one.
-    When the first column is a hash spread evenly over ``[0, spread)``, equal steps of it serve as cuts and one
-    count is enough.
-    """
-    first, second = order[0], (order[1] if len(order) > 1 else None)
-    if spread is not None:
-        chunks = _chunk_count(df.count(), rows_per_chunk)
-        step = F.floor(F.col(first) / F.lit(spread / chunks)).cast("int")
-        return df.withColumn(CHUNK, step if chunks > 1 else F.lit(0)), chunks
-    bounds = [f(c) for c in order for f in (F.min, F.max)]
-    *ends, rows = df.agg(*bounds, F.count(F.lit(1))).first()
-    chunks = _chunk_count(rows, rows_per_chunk)
-    if chunks == 1:
-        return df.withColumn(CHUNK, F.lit(0)), 1
-    position = _position(F.col(first), df.schema[first].dataType, *ends[:2])
-    if second:
-        if isinstance(df.schema[first].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            raise ValueError(f"{first}: the leading order column must be whole-numbered")
-        kind = df.schema[second].dataType
-        inner, low, high = (_position(c, kind, *ends[2:]) for c in (F.col(second), F.lit(ends[2]), F.lit(ends[3])))
-        position = position + (inner - low) / (high - low + 1) * 0.999
-    placed = df.withColumn("_position", position)
-    shares = [i / chunks for i in range(1, chunks)]
-    cuts = sorted(set(placed.approxQuantile("_position", shares, 0.25 / chunks)))
-    edges = [float("-inf"), *cuts, float("inf")]
-    binned = Bucketizer(splits=edges, inputCol="_position", outputCol=CHUNK, handleInvalid="keep")
-    return binned.transform(placed).withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("_position"), chunks
-
-
-def _chunk_count(rows: int, rows_per_chunk: int) -> int:
-    return max(1, min(-(-rows // rows_per_chunk), MAX_CHUNKS))
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names in which null equals null; the left ones stay."""
+    if not on:
+        return left.crossJoin(right)
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    condition = None
+    for c in on:
+        equal = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+        condition = equal if condition is None else condition & equal
+    return left.join(other, condition, how).drop(*[f"_on_{c}" for c in on])
 
 
 def running_before(
-    df: DataFrame,
-    order: Sequence[str],
-    totals: Mapping[str, Column],
-    by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    spread: float | None = None,
+    df: DataFrame, order: Sequence[str], totals: Mapping[str, Column], by: Sequence[str] = (), chunks: int | None = None
 ) -> DataFrame:
-    """Per row, the sum of each expression over all rows that come before it in ``order`` (unique within
-    ``by``)."""
-    chunked, chunks = with_chunk(df, order, rows_per_chunk, spread)
-    before = Window.unboundedPreceding, -1
-    if chunks == 1:
-        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(*before)
-        return df.withColumns({n: F.coalesce(F.sum(e).over(whole), F.lit(0)) for n, e in totals.items()})
+    """Per row, the sum of each expression over all rows that come before it in ``order`` (unique within ``by``)."""
+    chunked = with_chunk(df, order, chunks)
     group = [*by, CHUNK]
     sums = chunked.groupBy(*group).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in totals.items()])
-    # One row per group and chunk: there are at most MAX_CHUNKS chunks.
-    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(*before)
-    offsets = sums.select(
-        *group, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals]
-    )
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)
-    local = chunked.withColumns(
-        {f"_l_{n}": F.coalesce(F.sum(e).over(inside), F.lit(0)) for n, e in totals.items()}
-    )
-    joined = local.join(offsets, group, "left")
+    # One row per group and chunk.
+    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals])
+    inside = Window.partitionBy(*group).orderBy(*_ascending(order)).rowsBetween(Window.unboundedPreceding, -1)
+    local = chunked.withColumns({f"_l_{n}": F.coalesce(F.sum(e).over(inside), F.lit(0)) for n, e in totals.items()})
+    joined = null_safe_join(local, offsets, group, "left")
     out = joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in totals})
     return out.drop(CHUNK, *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals])
 
 
-def value_counts_before(df: DataFrame, value: str, by: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Distinct values with their count ``n`` and the number of rows below them, ``below``."""
+def value_counts_before(df: DataFrame, value: str, by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """Distinct values that are not null with their count ``n`` and the number of rows below them, ``below``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_before(counts, [value], {"below": F.col("n")}, by, rows_per_chunk)
+    return running_before(counts, [value], {"below": F.col("n")}, by, chunks)
 
 
 def quantiles(
-    df: DataFrame,
-    value: str,
-    shares: Mapping[str, float],
-    by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), chunks: int | None = None
 ) -> DataFrame:
-    """Exact interpolated quantiles. Repeated values are counted first, ranks come from running counts,
-    so neither the values of a group nor their histogram sit in one task."""
-    ranked = value_counts_before(df, value, by, rows_per_chunk)
-    sizes = df.groupBy(*by).agg(F.count(value).alias("_size"))
-    if by:
-        placed = ranked.join(sizes, list(by))
-    else:
-        placed = ranked.withColumn("_size", sizes.scalar())
+    """Exact interpolated quantiles of the values that are not null. Repeated values are counted first, ranks come from
+    running counts, so neither the values of a group nor their histogram sit in one task."""
+    ranked = value_counts_before(df, value, by, chunks)
+    # The size of a group is the rank after its largest value, so the values are not read again.
+    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_size"))
+    placed = null_safe_join(ranked, sizes, by) if by else ranked.withColumn("_size", sizes.scalar())
     below, after = F.col("below"), F.col("below") + F.col("n")
     picks = []
     for name, share in shares.items():
@@ -147,79 +94,52 @@ def quantiles(
     return picked.select(*by, *results)
 
 
-def kth_row(
-    df: DataFrame,
-    order: Sequence[str],
-    k: Column,
-    by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    spread: float | None = None,
-) -> DataFrame:
+def kth_row(df: DataFrame, order: Sequence[str], k: Column, by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """The ``k``-th row (from 1) in an order without ties: one struct ``at`` of the order columns per group.
 
     Counts per chunk locate the chunk that holds the row, and only that chunk is sorted. ``k`` may use
-    ``total``, the number of rows of the group. ``by`` is a class label or empty.
+    ``total``, the number of rows of the group.
     """
-    keyed = df.select(*by, *order)
-    chunked, chunks = with_chunk(keyed, order, rows_per_chunk, spread)
-    if chunks == 1:
-        sized = keyed.withColumns(
-            {
-                "total": F.count(F.lit(1)).over(Window.partitionBy(*by)),
-                "_at": F.row_number().over(Window.partitionBy(*by).orderBy(*order)),
-            }
-        )
-        return sized.where(F.col("_at") == k).select(*by, F.struct(*order).alias("at"))
+    chunked = with_chunk(df.select(*by, *order), order, chunks)
     cells = chunked.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select(
-        "*",
+        *by, CHUNK, "n",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("below"),
         F.sum("n").over(Window.partitionBy(*by)).alias("total"),
     ).withColumn("_k", k)
     cell = placed.where((F.col("below") < F.col("_k")) & (F.col("_k") <= F.col("below") + F.col("n"))).select(
         *by, CHUNK, (F.col("_k") - F.col("below")).alias("_rank")
     )
-    # One row per class label.
-    inside = chunked.join(F.broadcast(cell), [*by, CHUNK])
-    rank = F.row_number().over(Window.partitionBy(*by, CHUNK).orderBy(*order))
-    return inside.withColumn("_at", rank).where(F.col("_at") == F.col("_rank")).select(
-        *by, F.struct(*order).alias("at")
-    )
+    inside = null_safe_join(chunked, cell, [*by, CHUNK])
+    rank = F.row_number().over(Window.partitionBy(*by, CHUNK).orderBy(*_ascending(order)))
+    return inside.withColumn("_at", rank).where(F.col("_at") == F.col("_rank")).select(*by, F.struct(*order).alias("at"))
 
 
 def rolling_means(
-    df: DataFrame,
-    value: str,
-    means: Mapping[str, str],
-    order: Sequence[str],
-    rows: int,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    df: DataFrame, value: str, means: Mapping[str, str], order: Sequence[str], rows: int, chunks: int | None = None
 ) -> DataFrame:
     """Mean of the last ``rows`` rows (fewer at the start) per key in ``order`` (date and id); ``means`` maps each
-    new column to its key.
+    new column to its key. A row with a null key belongs to no group and has no mean.
 
     Rows are grouped by (key, chunk of the order), not by key alone, so three shifts do not mean three tasks.
     The first rows of a group take what they lack from the last rows of the groups before it.
     """
     if rows < 2:
-        return df.withColumns({out: F.col(value) for out in means})
-    chunked, chunks = with_chunk(df, order, rows_per_chunk)
+        return df.withColumns({out: F.when(F.col(key).isNotNull(), F.col(value)) for out, key in means.items()})
+    chunked = with_chunk(df, order, chunks)
     result = chunked
     for out, key in means.items():
-        if chunks == 1:
-            frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-            result = result.withColumn(out, F.avg(value).over(frame))
-        else:
-            result = _rolling_by_chunk(result, _carried_rows(chunked, value, key, order, rows - 1), value, key, order, rows, out)
+        carried = _carried_rows(chunked, value, key, order, rows - 1)
+        result = _rolling_by_chunk(result, carried, value, key, order, rows, out)
     return result.drop(CHUNK)
 
 
 def _carried_rows(chunked: DataFrame, value: str, key: str, order: Sequence[str], prior: int) -> DataFrame:
     """Per (key, chunk), the values of the last rows of up to ``prior`` chunks of the key before it."""
-    inside = Window.partitionBy(key, CHUNK).orderBy(*order)
-    slim = chunked.select(key, CHUNK, *order, value)
-    last = slim.withColumn("_next", F.lead(order[-1], prior).over(inside)).where(F.col("_next").isNull())
+    inside = Window.partitionBy(key, CHUNK).orderBy(*_ascending(order))
+    slim = chunked.where(F.col(key).isNotNull()).select(key, CHUNK, *order, value)
+    last = slim.withColumn("_next", F.lead(F.lit(1), prior).over(inside)).where(F.col("_next").isNull())
     # At most ``prior`` rows are left per (key, chunk).
     tails = last.groupBy(key, CHUNK).agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("_tail"))
     before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(-prior, -1)
@@ -229,7 +149,7 @@ def _carried_rows(chunked: DataFrame, value: str, key: str, order: Sequence[str]
 def _rolling_by_chunk(
     df: DataFrame, carried: DataFrame, value: str, key: str, order: Sequence[str], rows: int, out: str
 ) -> DataFrame:
-    inside = Window.partitionBy(key, CHUNK).orderBy(*order)
+    inside = Window.partitionBy(key, CHUNK).orderBy(*_ascending(order))
     frame = inside.rowsBetween(-(rows - 1), 0)
     local = df.select(
         "*",
@@ -247,7 +167,7 @@ def _rolling_by_chunk(
     borrowed_sum = F.when(known, F.aggregate(borrowed, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
     borrowed_count = F.when(known, F.size(borrowed)).otherwise(0)
     total, count = F.col("_sum") + borrowed_sum, F.col("_count") + borrowed_count
-    return joined.withColumn(out, F.try_divide(total, count)).drop("_sum", "_count", "_rank", "_carried")
+    return joined.withColumn(out, F.when(F.col(key).isNotNull(), F.try_divide(total, count))).drop("_sum", "_count", "_rank", "_carried")
 
 
 def weekly_lags(df: DataFrame, by: str, week: str, lags: Mapping[str, tuple[str, int]]) -> DataFrame:

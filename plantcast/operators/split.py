@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantcast.functions.columns import key_hash
-from plantcast.operators.ordered import ROWS_PER_CHUNK, kth_row, running_before
-
-HASH_SPREAD = 2.0**32
+from plantcast.operators.ordered import kth_row, null_safe_join, running_before
 
 
 def _before_or_at(at: Column, *order: str) -> Column:
@@ -22,11 +20,11 @@ def _before_or_at(at: Column, *order: str) -> Column:
 
 def time_split(
     df: DataFrame, date: str, id_col: str, train_share: float = 0.8, out: str = "is_train",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """First ``int(share * n)`` rows by date, ties by id."""
     k = F.floor(F.lit(train_share) * F.col("total"))
-    at = kth_row(df, [date, id_col], k, rows_per_chunk=rows_per_chunk).select("at").scalar()
+    at = kth_row(df, [date, id_col], k, chunks=chunks).select("at").scalar()
     return df.withColumn(out, _before_or_at(at, date, id_col))
 
 
@@ -36,26 +34,25 @@ def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def random_split(
     df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, out: str = "is_train",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exactly ``n - ceil(share * n)`` training rows, the lowest by seeded hash of a unique key."""
     hashed = _hashed(df, key, seed)
     k = F.col("total") - F.ceil(F.lit(test_share) * F.col("total"))
-    at = kth_row(hashed, ["_h", key], k, (), rows_per_chunk, HASH_SPREAD).select("at").scalar()
+    at = kth_row(hashed, ["_h", key], k, (), chunks).select("at").scalar()
     return hashed.withColumn(out, _before_or_at(at, "_h", key)).drop("_h")
 
 
 def stratified_split(
     df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42, out: str = "is_train",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
-    """The same per class. Thresholds are one per class, read back as a map."""
+    """The same per class; a null label is a class."""
     hashed = _hashed(df, key, seed)
     k = F.col("total") - F.ceil(F.lit(test_share) * F.col("total"))
-    found = kth_row(hashed, ["_h", key], k, (label,), rows_per_chunk, HASH_SPREAD)
-    table = found.agg(F.map_from_entries(F.collect_list(F.struct(label, "at")))).scalar()
-    at = F.try_element_at(table, F.col(label))
-    return hashed.withColumn(out, _before_or_at(at, "_h", key)).drop("_h")
+    found = kth_row(hashed, ["_h", key], k, (label,), chunks).withColumnRenamed("at", "_at")
+    joined = null_safe_join(hashed, found, [label], "left")
+    return joined.withColumn(out, _before_or_at(F.col("_at"), "_h", key)).drop("_h", "_at")
 
 
 def hash_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -65,11 +62,11 @@ def hash_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str
 
 def stratified_folds(
     df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, out: str = "fold",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Fold sizes per class differ by at most one: position in hash order modulo the number of folds."""
     hashed = _hashed(df, key, seed)
-    placed = running_before(hashed, ["_h", key], {"_before": F.lit(1)}, (label,), rows_per_chunk, HASH_SPREAD)
+    placed = running_before(hashed, ["_h", key], {"_before": F.lit(1)}, (label,), chunks)
     return placed.withColumn(out, (F.col("_before") % folds).cast("int")).drop("_h", "_before")
 
 

@@ -18,7 +18,7 @@ from plantcast.operators.aggregates import (
     work_centres_by_week,
 )
 from plantcast.operators.encode import apply_encoder, fit_encoder
-from plantcast.operators.joins import left_lookup, left_lookup_small
+from plantcast.operators.joins import left_lookup
 from plantcast.operators.ordered import weekly_lags, weekly_rolling
 from plantcast.sources.schemas import KEYS
 
@@ -55,7 +55,7 @@ def star_join(
     if customers is not None:
         df = df.join(customers_by_grain(customers), list(KEYS), "left")
     if work_centres is not None:
-        df = left_lookup_small(df, work_centres_by_week(work_centres), WEEK_KEYS)
+        df = df.join(work_centres_by_week(work_centres), list(WEEK_KEYS), "left")
     if materials is not None:
         df = left_lookup(df, materials, ["material_no"], MATERIAL)
     if suppliers is not None:

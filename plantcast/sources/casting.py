@@ -76,11 +76,11 @@ class PlanningTables:
 
     def material_replenishment(self) -> DataFrame:
         week, part = F.col("week_no"), F.col("part")
-        quantity, returned = F.col("l_quantity"), F.col("l_returnflag")
-        grain = self._week_lines().where(F.col("l_linestatus") == "F").groupBy(*KEYS).agg(
+        quantity, returned, closed = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linestatus") == "F"
+        grain = self._week_lines().groupBy(*KEYS).agg(
             F.min("l_partkey").alias("part"),
-            F.sum(F.when(returned == "R", quantity).otherwise(0.0)).cast("int").alias("stock_level"),
-            F.sum(F.when(returned == "A", quantity).otherwise(0.0)).cast("int").alias("replenishment_order_qty"),
+            F.sum(F.when(closed & (returned == "R"), quantity).otherwise(0.0)).cast("int").alias("stock_level"),
+            F.sum(F.when(closed & (returned == "A"), quantity).otherwise(0.0)).cast("int").alias("replenishment_order_qty"),
         )
         return grain.select(
             F.concat_ws("-", F.lit("MR"), week.cast("string"), part.cast("string")).alias("replenishment_id"),

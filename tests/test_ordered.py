@@ -44,7 +44,7 @@ def rolling_brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 @pytest.mark.parametrize("hot, nulls", [(0.0, 0.0), (0.6, 0.0), (0.4, 0.3)])
 def test_rolling_mean(spark, chunk, hot, nulls):
     rows = lots(1, 120, ["A", "B", "C"], 9, hot, nulls)
@@ -56,7 +56,7 @@ def test_rolling_mean(spark, chunk, hot, nulls):
         assert got[lot] == (None if mean is None else pytest.approx(mean))
 
 
-@pytest.mark.parametrize("chunk", [1, 5, 40, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 def test_running_before(spark, chunk):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), i * 3 + rng.randrange(3), rng.randrange(10)) for i in range(90)]
@@ -65,11 +65,11 @@ def test_running_before(spark, chunk):
     assert got == {(g, o): sum(n2 for g2, o2, n2 in rows if g2 == g and o2 < o) for g, o, _ in rows}
 
 
-@pytest.mark.parametrize("chunk", [1, 4, 25, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 @pytest.mark.parametrize("values", [[5.0] * 30, [float(i % 7) for i in range(41)], [float(i * i) for i in range(40)]])
 def test_quantiles(spark, chunk, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    row = ordered.quantiles(df, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, rows_per_chunk=chunk).first()
+    row = ordered.quantiles(df, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, chunks=chunk).first()
     assert [row.q1, row.q2, row.q3] == pytest.approx(statistics.quantiles(values, n=4, method="inclusive"))
 
 
@@ -79,12 +79,12 @@ def test_describe_has_sample_deviation(spark):
     assert row.n == 4 and row["std"] == pytest.approx(statistics.stdev(values)) and row.q50 == 2.0
 
 
-@pytest.mark.parametrize("chunk", [1, 6, 45, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 @pytest.mark.parametrize("n, hot", [(97, 0.0), (100, 0.7), (1, 0.0), (3, 0.0)])
 def test_time_split(spark, chunk, n, hot):
     rows = lots(5, n, ["A"], 11, hot)
     df = spark.createDataFrame(rows, LOT)
-    got = {r.lot for r in split.time_split(df, "d", "lot", rows_per_chunk=chunk).where("is_train").collect()}
+    got = {r.lot for r in split.time_split(df, "d", "lot", chunks=chunk).where("is_train").collect()}
     by_time = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))]
     assert got == set(by_time[: int(0.8 * n)])
 
@@ -93,25 +93,25 @@ def hashed(key, seed=42):
     return int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest()[:8], 16)
 
 
-@pytest.mark.parametrize("chunk", [1, 9, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 def test_random_split(spark, chunk):
     keys = [f"k{i}" for i in range(83)]
     df = spark.createDataFrame([(k,) for k in keys], "key string")
-    got = {r.key for r in split.random_split(df, "key", rows_per_chunk=chunk).where("is_train").collect()}
+    got = {r.key for r in split.random_split(df, "key", chunks=chunk).where("is_train").collect()}
     order = sorted(keys, key=lambda k: (hashed(k), k))
     assert got == set(order[: len(keys) - math.ceil(0.2 * len(keys))])
 
 
-@pytest.mark.parametrize("chunk", [1, 9, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 def test_stratified_split_and_folds(spark, chunk):
     rows = [(f"k{i}", int(i % 7 == 0)) for i in range(150)]
     df = spark.createDataFrame(rows, "key string, label int")
-    parts = split.stratified_split(df, "key", "label", rows_per_chunk=chunk).collect()
+    parts = split.stratified_split(df, "key", "label", chunks=chunk).collect()
     for label in (0, 1):
         keys = sorted((k for k, v in rows if v == label), key=lambda k: (hashed(k), k))
         train = {r.key for r in parts if r.label == label and r.is_train}
         assert train == set(keys[: len(keys) - math.ceil(0.2 * len(keys))])
-    folds = {r.key: r.fold for r in split.stratified_folds(df, "key", "label", rows_per_chunk=chunk).collect()}
+    folds = {r.key: r.fold for r in split.stratified_folds(df, "key", "label", chunks=chunk).collect()}
     for label in (0, 1):
         keys = sorted((k for k, v in rows if v == label), key=lambda k: (hashed(k), k))
         assert [folds[k] for k in keys] == [i % 5 for i in range(len(keys))]
@@ -120,13 +120,13 @@ def test_stratified_split_and_folds(spark, chunk):
 def test_splits_do_not_depend_on_partitions(spark):
     df = spark.range(500).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     first = split.random_split(df.repartition(1), "key").where("is_train")
-    second = split.random_split(df.repartition(7), "key", rows_per_chunk=60).where("is_train")
+    second = split.random_split(df.repartition(7), "key", chunks=9).where("is_train")
     assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
     sample = [r.key for r in split.seeded_sample(df.repartition(3), "key", 5).collect()]
     assert sample == [r.key for r in split.seeded_sample(df.repartition(1), "key", 5).collect()]
 
 
-@pytest.mark.parametrize("chunk", [1, 5, 30, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 def test_roc_auc_with_ties(spark, chunk):
     rng = random.Random(11)
     rows = [(rng.randrange(2), rng.choice([0.1, 0.2, 0.25, 0.5, rng.random()])) for _ in range(200)]
@@ -139,7 +139,7 @@ def test_roc_auc_of_one_class_is_null(spark):
     assert roc_auc(spark.createDataFrame([(1, 0.3), (1, 0.4)], "y int, s double"), "y", "s").first()[0] is None
 
 
-@pytest.mark.parametrize("chunk", [1, 4, 10_000])
+@pytest.mark.parametrize("chunk", [1, 3, 11])
 def test_encoder(spark, chunk):
     values = ["M-10", "M-9", "M-1", "m", "", "Ä", "zz", "M-100", None, "M-9"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
@@ -157,7 +157,36 @@ def test_latest_per_key(spark):
     assert sorted(map(tuple, latest_per_key(df, ["k"], ["t", "i"]).collect())) == [("a", 2, 1, "y"), ("b", 1, 1, None)]
 
 
-def test_leading_order_column_must_be_whole_numbered(spark):
-    df = spark.createDataFrame([(0.1, 1), (0.2, 2)], "a double, b int")
-    with pytest.raises(ValueError):
-        ordered.with_chunk(df, ["a", "b"], 1)
+def test_one_odd_id_and_a_hot_date_do_not_fill_one_chunk(spark):
+    rows = [(1, f"INS-{i:012d}") for i in range(4000)] + [(2, "X-1")]
+    df = spark.createDataFrame(rows, "d int, lot string")
+    sizes = [r["count"] for r in ordered.with_chunk(df, ["d", "lot"], 8).groupBy(ordered.CHUNK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * 4001 / 8
+
+
+@pytest.mark.parametrize("chunk", [1, 5])
+def test_null_keys_labels_scores_and_dates(spark, chunk):
+    rng = random.Random(9)
+    rows = [(f"k{i}", rng.choice(["a", None]), rng.choice([0, 1, None]), rng.choice([None, 0.25, rng.random()]), rng.choice([None, 1, 2, 3])) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, g string, y int, s double, d int")
+    pairs = [(y, s) for _, _, y, s, _ in rows if y is not None and s is not None]
+    wins = [(p > n) + 0.5 * (p == n) for a, p in pairs if a for b, n in pairs if not b]
+    assert roc_auc(df, "y", "s", chunk).first()[0] == pytest.approx(sum(wins) / len(wins))
+    folds = {r.key: r.fold for r in split.stratified_folds(df, "key", "y", chunks=chunk).collect()}
+    train = {r.key for r in split.stratified_split(df, "key", "y", chunks=chunk).where("is_train").collect()}
+    for label in (0, 1, None):
+        keys = sorted((r[0] for r in rows if r[2] == label), key=lambda k: (hashed(k), k))
+        assert [folds[k] for k in keys] == [i % 5 for i in range(len(keys))]
+        assert train & set(keys) == set(keys[: len(keys) - math.ceil(0.2 * len(keys))])
+    by_time = sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0, r[0]))
+    got = {r.key for r in split.time_split(df, "d", "key", chunks=chunk).where("is_train").collect()}
+    assert got == {r[0] for r in by_time[:160]}
+    means = {r.key: r.m for r in ordered.rolling_means(df, "s", {"m": "g"}, ["d", "key"], 4, chunk).collect()}
+    history = []
+    for key, g, _, s, _ in by_time:
+        if g is None:
+            assert means[key] is None
+            continue
+        history.append(s)
+        known = [x for x in history[-4:] if x is not None]
+        assert means[key] == (pytest.approx(sum(known) / len(known)) if known else None)
