@@ -93,7 +93,7 @@ def src_rejected_lots(t):
 
 
 def demand_records(t):
-    """Scoring records from forecasts and stocks; rows without stock lack required fields."""
+    """Scoring records from forecasts and stocks."""
     joined = demand.with_replenishment(t.demand_forecast(), t.material_replenishment())
     return joined.select(*KEYS, "forecast_qty", "stock_level", "replenishment_order_qty", "historical_avg_qty", "supplier_otif_pct")
 
@@ -110,15 +110,37 @@ def src_demand_defaults(t):
                        "confidence_score", "supplier_lead_time_days", "avg_wc_utilization", "n_orders")
 
 
+def odd_records(t):
+    """Records in which some stocks are NaN, some orders are missing and some batches are zero."""
+    nan, week = F.lit(float("nan")), F.col("week_no")
+    return demand_records(t).withColumns({
+        "stock_level": F.when(week % 7 == 3, nan).otherwise(F.col("stock_level").cast("double")),
+        "replenishment_order_qty": F.when(week % 11 != 5, F.col("replenishment_order_qty")),
+        "standard_batch_qty": week % 3,
+    })
+
+
 @query("src_demand_rejected", with_views("""
-  SELECT week_no, material_no, scenario, 'stock_level missing;replenishment_order_qty missing' AS violations
-  FROM demand_forecast f WHERE NOT EXISTS (SELECT 1 FROM material_replenishment r WHERE r.week_no = f.week_no AND r.material_no = f.material_no)""",
+  SELECT week_no, material_no, scenario, concat_ws(';', CASE WHEN week_no % 7 = 3 THEN 'stock_level missing' END,
+    CASE WHEN week_no % 11 = 5 THEN 'replenishment_order_qty missing' END) AS violations
+  FROM demand_forecast JOIN material_replenishment r USING (week_no, material_no, scenario) WHERE week_no % 7 = 3 OR week_no % 11 = 5""",
     "demand_forecast", "material_replenishment"))
 def src_demand_rejected(t):
-    bad = records.rejected(records.check_demand(demand_records(t)))
+    """A NaN is as missing as a null."""
+    bad = records.rejected(records.check_demand(odd_records(t)))
     return bad.select(*KEYS, F.array_join("violations", ";").alias("violations"))
 
 
+@query("src_demand_zero_batch", with_views("""
+  SELECT week_no, material_no, scenario, CAST(stock_level AS DOUBLE) AS stock_level, CAST(greatest(week_no % 3, 1) AS DOUBLE) AS standard_batch_qty
+  FROM demand_forecast JOIN material_replenishment r USING (week_no, material_no, scenario) WHERE week_no % 7 <> 3 AND week_no % 11 <> 5""",
+    "demand_forecast", "material_replenishment"))
+def src_demand_zero_batch(t):
+    """Accepted records; a batch quantity of zero counts as one."""
+    good = records.complete_demand(records.accepted(records.check_demand(odd_records(t))))
+    return good.select(*KEYS, "stock_level", "standard_batch_qty")
+
+
 _ALERT_SQL = "CASE WHEN scrap_risk_probability >= 6e-1 THEN 'ESCALATE' WHEN scrap_risk_probability >= 4e-1 THEN 'WARN' ELSE 'OK' END"
 _ACTION_SQL = "CASE alert_level WHEN 'OK' THEN 'Log result only' WHEN 'WARN' THEN 'Notify quality team' ELSE 'Block order + escalate' END"
 

@@ -69,11 +69,6 @@ def title_text(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def column_or_default(df: DataFrame, name: str, default: object) -> Column:
-    """The column when the frame has it, else a constant."""
-    return F.col(name) if name in df.columns else F.lit(default).alias(name)
-
-
 def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Absent columns become the default; absent fields (null) of present columns too."""
     filled = {
