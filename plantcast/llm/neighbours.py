@@ -5,8 +5,9 @@ with its neighbours and with the nodes it is a neighbour of: the members of such
 neighbour of a neighbour is likely to be a neighbour, and only pairs better than a member's worst neighbour leave the task.
 A search keeps the best nodes found per query, and in each round joins those not yet expanded with the graph.
 
-Work is dealt to groups of a bounded number of centres or pairs; a group gets each vector that it needs once. Lists of nodes
-that very many others point to are cut into parts, which loses no pair with the node's own neighbours.
+A list carries its members' vectors in eight bits per number, so what a round moves grows with the number of edges; the
+search scores in 32 bits and the result in double precision. Lists are dealt to groups of a bounded number of centres. Lists of
+nodes that very many others point to are cut into parts, which loses no pair with the node's own neighbours.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ROUNDS = 6
 # A round that changes a smaller share of the graph is the last.
 SETTLED = 0.01
 POINTED_AT = 48
-CENTRES_BY_DIM = 1 << 19
+CENTRES_BY_DIM = 1 << 16
 BEAM = 96
 ENTRIES = 8
 MAX_HOPS = 40
@@ -48,19 +49,32 @@ def _vectors(blobs, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim)
 
 
+def shortened(unit: np.ndarray) -> list[bytes]:
+    """Each row as its largest number (32-bit) and its numbers in 8 bits relative to it."""
+    top = np.abs(unit).max(axis=1, initial=0).astype(np.float32)
+    whole = np.rint(unit / top[:, None] * 127).astype(np.int8)
+    return [t.tobytes() + r.tobytes() for t, r in zip(top, whole)]
+
+
+def lengthened(blobs, dim: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, dim + 4)
+    top = raw[:, :4].copy().view(np.float32)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * (top / 127)
+
+
 def index_nodes(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """Written table ``node``, ``key``, ``vector``, ``unit`` (32-bit) of the usable vectors, and their length. Vectors of another
-    length than the most frequent one take no part."""
+    """Written table ``node``, ``key``, ``vector``, ``unit`` (32-bit), ``small`` (8-bit) of the usable vectors, and their length.
+    Vectors of another length than the most frequent one take no part."""
     sound = stored(rows.where(usable(F.col(vector))).select(F.monotonically_increasing_id().alias("node"), F.col(key).alias("key"), F.col(vector).alias("vector")), "vectors")
     common = sound.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = common["dim"] if common else 1
 
-    @F.pandas_udf("binary")
-    def unit(vectors: pd.Series) -> pd.Series:
-        x = unit_rows(vectors).astype(np.float32) if len(vectors) else []
-        return pd.Series([r.tobytes() for r in x], dtype=object)
+    @F.pandas_udf("unit binary, small binary")
+    def forms(vectors: pd.Series) -> pd.DataFrame:
+        x = unit_rows(vectors).astype(np.float32) if len(vectors) else np.zeros((0, dim), np.float32)
+        return pd.DataFrame({"unit": [r.tobytes() for r in x], "small": shortened(x)}, dtype=object)
 
-    return stored(sound.where(F.size("vector") == dim).withColumn("unit", unit("vector")), "nodes"), dim
+    return stored(sound.where(F.size("vector") == dim).withColumn("_f", forms("vector")).select("*", "_f.unit", "_f.small").drop("_f"), "nodes"), dim
 
 
 def _leaf_graph(nodes: DataFrame, dim: int, count: int, keep: int) -> DataFrame:
@@ -108,15 +122,12 @@ def _merge(edges: DataFrame, groups: int, keep: int) -> DataFrame:
 
 
 def _local_join(dim: int, keep: int):
-    def pairs(edges: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        ids, x = vectors["node"].to_numpy(), _vectors(vectors["unit"], dim)
-        order = np.argsort(ids)
-        ids, x, bound = ids[order], x[order], vectors["bound"].to_numpy()[order]
-        edges = edges.drop_duplicates(["c", "part", "m"]).sort_values(["c", "part"], kind="stable")
-        member, fresh = np.searchsorted(ids, edges["m"].to_numpy()), edges["fresh"].to_numpy()
-        new = np.r_[True, (edges["c"].to_numpy()[1:] != edges["c"].to_numpy()[:-1]) | (edges["part"].to_numpy()[1:] != edges["part"].to_numpy()[:-1])]
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(edges)])
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["c", "part", "m", "fresh"], kind="stable").drop_duplicates(["c", "part", "m"], keep="last")
+        x, ids, bound, fresh = lengthened(rows["small"], dim), rows["m"].to_numpy(), rows["bound"].to_numpy(), rows["fresh"].to_numpy()
+        c, part = rows["c"].to_numpy(), rows["part"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[start, len(rows)])
         by_size = np.argsort(size, kind="stable")
         out = []
         for at in range(0, len(start), 256):
@@ -124,15 +135,14 @@ def _local_join(dim: int, keep: int):
             width = size[some].max()
             slots = np.minimum(np.arange(width)[None, :], size[some][:, None] - 1) + start[some][:, None]
             used = np.arange(width)[None, :] < size[some][:, None]
-            m, f = member[slots], fresh[slots] & used
-            v = x[m]
+            f, v = fresh[slots] & used, x[slots]
             s = v @ v.transpose(0, 2, 1)
-            good = (s > bound[m][:, :, None]) & (f[:, :, None] | f[:, None, :]) & used[:, :, None] & used[:, None, :] & (m[:, :, None] != m[:, None, :])
+            good = (s > bound[slots][:, :, None]) & (f[:, :, None] | f[:, None, :]) & used[:, :, None] & used[:, None, :]
+            good &= ~np.eye(width, dtype=bool)
             i, j, k = np.nonzero(good)
-            out.append((m[i, j], m[i, k], s[i, j, k]))
-        u, v, s = (np.concatenate(c) for c in zip(*out))
-        found = best(pd.DataFrame({"u": u, "v": v, "s": s}), "u", "v", keep)
-        return pd.DataFrame({"u": ids[found["u"]], "v": ids[found["v"]], "s": found["s"], "fresh": True})
+            out.append((ids[slots[i, j]], ids[slots[i, k]], s[i, j, k]))
+        u, v, s = (np.concatenate(part) for part in zip(*out))
+        return best(pd.DataFrame({"u": u, "v": v, "s": s}), "u", "v", keep).assign(fresh=True)
 
     return pairs
 
@@ -146,14 +156,13 @@ def _proposals(graph: DataFrame, nodes: DataFrame, dim: int, count: int, keep: i
     ahead = ahead.select("c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "m", "fresh")
     back = graph.select(F.col("v").alias("c"), F.col("u").alias("m"), "fresh").join(hubs, "c", "left")
     back = back.select("c", F.pmod(F.xxhash64("m"), parts).cast("int").alias("part"), "m", "fresh")
-    groups = group_count(count, max(256, CENTRES_BY_DIM // dim))
-    lists = ahead.union(back).withColumn("g", F.pmod(F.xxhash64("c", "part"), F.lit(groups)))
-    lists = stored(lists, "lists")
     full = graph.groupBy(F.col("u").alias("node")).agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("n"))
-    bounds = full.select("node", F.when(F.col("n") >= keep, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("bound"))
-    wanted = lists.select(F.col("g").alias("h"), F.col("m").alias("node")).distinct()
-    vectors = wanted.join(nodes.select("node", "unit"), "node").join(bounds, "node", "left").fillna(-2.0, ["bound"])
-    return lists.groupBy("g").cogroup(vectors.groupBy("h")).applyInPandas(_local_join(dim, keep), _EDGE)
+    bounds = full.select(F.col("node").alias("_n"), F.when(F.col("n") >= keep, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("bound"))
+    members = nodes.select("node", "small").join(bounds, F.col("node") == F.col("_n"), "left")
+    members = stored(members.select("node", "small", F.coalesce("bound", F.lit(-2.0).cast("float")).alias("bound")), "members")
+    lists = ahead.union(back).join(members, F.col("m") == F.col("node")).drop("node")
+    group = F.pmod(F.xxhash64("c", "part"), F.lit(group_count(count, max(64, CENTRES_BY_DIM // dim)))).alias("g")
+    return lists.groupBy(group).applyInPandas(_local_join(dim, keep), _EDGE)
 
 
 def build_graph(nodes: DataFrame, dim: int, keep: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
