@@ -72,7 +72,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 800, rate: float = 0.05, shrink: float = 1e-5):
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 1500, rate: float = 0.05, shrink: float = 2e-6):
     """Weights and thresholds by maximum likelihood with a small ridge, from sparse 0/1 rows."""
     n, top = len(rows), int(grades.max(initial=0)) if len(rows) else 0
     levels = max(top, 1)
