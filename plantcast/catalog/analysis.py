@@ -396,7 +396,7 @@ def metric_mape(t):
 def metric_r2_constant(t):
     """A constant target scores 0, or 1 when predicted exactly."""
     p = t.predictions().select(F.lit(200.0).alias("a"), F.col("pred_order_qty").cast("double").alias("p"), F.lit(200.0).alias("same"))
-    return p.agg(metrics.r2(p, "a", "p").alias("constant_r2"), metrics.r2(p, "a", "same").alias("exact_r2"))
+    return p.agg(metrics.r2("a", "p").alias("constant_r2"), metrics.r2("a", "same").alias("exact_r2"))
 
 
 @query("metric_roc_auc", with_views("""

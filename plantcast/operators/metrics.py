@@ -37,22 +37,25 @@ def accuracy(actual: str, predicted: str) -> Column:
     return F.avg((F.col(actual) == F.col(predicted)).cast("double"))
 
 
-def r2(df: DataFrame, actual: str, predicted: str) -> Column:
-    """1 - SSE/SST as an aggregate. The mean comes from a first pass, so large values keep their digits.
-    A constant target scores 0, or 1 when every prediction is exact."""
-    mean = df.agg(F.avg(_num(actual))).scalar()
-    sse = F.sum(F.pow(_num(actual) - _num(predicted), F.lit(2.0)))
-    sst = F.sum(F.pow(_num(actual) - mean, F.lit(2.0)))
+def r2(actual: str, predicted: str) -> Column:
+    """1 - SSE/SST over the rows that have both, in one pass: Spark's variance keeps central moments, so large values
+    keep their digits. A constant target scores 0, or 1 when every prediction is exact."""
+    known = F.when(F.col(predicted).isNotNull(), _num(actual))
+    sse = F.sum(F.pow(known - _num(predicted), F.lit(2.0)))
+    sst = F.var_pop(known) * F.count(known)
     return F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 
 
+def regression_columns(actual: str, predicted: str) -> dict[str, Column]:
+    """Aggregates over the rows that have both values."""
+    return {
+        "mae": mae(actual, predicted), "rmse": rmse(actual, predicted), "r2": r2(actual, predicted), "mape": mape(actual, predicted),
+    }
+
+
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: mae, rmse, r2, mape."""
-    both = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    return both.agg(
-        mae(actual, predicted).alias("mae"), rmse(actual, predicted).alias("rmse"),
-        r2(both, actual, predicted).alias("r2"), mape(actual, predicted).alias("mape"),
-    )
+    return df.agg(*[c.alias(n) for n, c in regression_columns(actual, predicted).items()])
 
 
 def _counts(actual: str, predicted: str, positive: int = 1) -> tuple[Column, Column, Column]:
@@ -64,15 +67,18 @@ def _safe(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
 
 
-def binary_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: accuracy, precision, recall, F1 of class 1; a zero divisor scores 0."""
+def binary_columns(actual: str, predicted: str) -> dict[str, Column]:
+    """Aggregates accuracy, precision, recall, F1 of class 1; a zero divisor scores 0."""
     tp, fp, fn = _counts(actual, predicted)
-    return df.agg(
-        accuracy(actual, predicted).alias("accuracy"),
-        _safe(tp, tp + fp).alias("precision"),
-        _safe(tp, tp + fn).alias("recall"),
-        _safe(2 * tp, 2 * tp + fp + fn).alias("f1_score"),
-    )
+    return {
+        "accuracy": accuracy(actual, predicted), "precision": _safe(tp, tp + fp), "recall": _safe(tp, tp + fn),
+        "f1_score": _safe(2 * tp, 2 * tp + fp + fn),
+    }
+
+
+def binary_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """One row: accuracy, precision, recall and F1 of class 1."""
+    return df.agg(*[c.alias(n) for n, c in binary_columns(actual, predicted).items()])
 
 
 def roc_auc(df: DataFrame, actual: str, score: str, chunks: int | None = None) -> DataFrame:
