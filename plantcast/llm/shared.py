@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from plantcast.session import work_path
 
-# Space, tab, line feed, vertical tab, form feed and carriage return; everything else belongs to a word.
-SPACE_CLASS = r"\x20\x09-\x0D"
-WORD = f"[^{SPACE_CLASS}]+"
 SALTS = 64
 TEXT_ROWS = 1000
 TEXT_BYTES = 8 << 20
