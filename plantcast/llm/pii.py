@@ -39,14 +39,16 @@ SYLLABLES = {
 }
 _POOLS = {group: names.split() for group, names in GIVEN.items()}
 _GROUP_OF = {name.lower(): group for group, names in _POOLS.items() for name in names}
-_NAMES = frozenset(name for names in _POOLS.values() for name in names)
-_TITLE_SET = frozenset(t + dot for t in TITLES for dot in ("", "."))
+# In lower case, "ms" is a unit.
+_WRITTEN = sorted({form for t in TITLES for form in (t, t.upper(), t.lower()) if form != "ms"})
+_HINTS = frozenset(_GROUP_OF) | {t.lower() for t in TITLES}
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IP = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])")
 _NUMBER = re.compile(r"(?<![\w+.])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){8,18}(?!\w|\.[0-9])")
 _DIGIT = re.compile("[0-9]")
-_NAME = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(TITLES) + r")\.? )?(?P<first>[^\W\d_]+)(?: (?P<second>[^\W\d_]+))?")
+_WORD = re.compile(r"[^\W\d_]+")
+_NAME = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(_WRITTEN) + r")\.? )?(?P<first>[^\W\d_]+)(?: (?P<second>[^\W\d_]+))?")
 
 
 def luhn_digit(digits: str) -> str:
@@ -80,29 +82,38 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             add(*m.span(), "card")
         elif 10 <= len(digits) <= 15 and (m[0].startswith(("+", "(")) or re.search(r"\d[ ().-]+\d", m[0])):
             add(*m.span(), "phone")
-    words = set(text.split())
-    if not (words.isdisjoint(_NAMES) and words.isdisjoint(_TITLE_SET)):
+    # The words of the search, so a text without any hint can't hold a name.
+    if not _HINTS.isdisjoint(_WORD.findall(text.lower())):
         _find_names(text, add)
     return sorted(found)
 
 
+def _is_given(word: str) -> bool:
+    """Whether a capitalised word, or one in capitals, is a listed given name."""
+    return word[0].isupper() and word.lower() in _GROUP_OF
+
+
 def _find_names(text: str, add) -> None:
-    """Given names before a capitalised word, and capitalised words after a title or before another of the same name."""
+    """Given names before a capitalised word, and capitalised words after a title or before another of the same name.
+
+    After a title in capitals (``MS``) a surname has to be in capitals too. Surnames are also found where they stand in capitals.
+    """
     at, surnames = 0, set()
     while m := _NAME.search(text, at):
-        first, second = m["first"], m["second"]
+        first, second, title = m["first"], m["second"], m["title"]
         at = m.end("first")
-        if first in _NAMES and second and second[0].isupper() and len(second) > 1 and second not in _NAMES:
+        given = _is_given(first)
+        if given and second and second[0].isupper() and len(second) > 1 and not _is_given(second):
             add(*m.span("first"), "given")
             add(*m.span("second"), "surname")
             surnames.add(second)
             at = m.end()
-        elif m["title"] and first in _NAMES:
+        elif title and given:
             add(*m.span("first"), "given")
-        elif m["title"] and first[0].isupper() and len(first) > 1:
+        elif title and first[0].isupper() and len(first) > 1 and (first.isupper() or not title.isupper()):
             add(*m.span("first"), "surname")
             surnames.add(first)
-    for name in surnames:
+    for name in surnames | {name.upper() for name in surnames}:
         for m in re.finditer(rf"(?<!\w){name}(?!\w)", text):
             add(*m.span(), "surname")
 

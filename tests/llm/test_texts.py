@@ -278,6 +278,15 @@ def test_surrogates(spark, docs, none):
     assert pii.replace_entities(docs, b"k").where(F.col("doc_id") == 7).first()["text"] == "short text"
 
 
+@pytest.mark.parametrize("text, mentions", [
+    ('"Maria Keller"', ["Maria", "Keller"]), ("(Maria Keller)", ["Maria", "Keller"]), ("Name:Maria Keller", ["Maria", "Keller"]), ("(Mr. Smith) came", ["Smith"]),
+    ("by MARIA KELLER, Keller", ["MARIA", "KELLER"]), ("[MR. SMITH]", ["SMITH"]), ("¡señora García!", ["García"]), ("(Иван Петров)", ["Иван", "Петров"]),
+    ("Maria Keller, KELLER", ["Maria", "Keller", "KELLER"]), ("5 ms Delay", []), ("MS Word", []), ("Marias Keller", []), ("maria keller", []),
+])
+def test_names_after_punctuation_and_in_capitals(text, mentions):
+    assert [text[s:e] for s, e, _ in pii.find_entities(text)] == mentions
+
+
 def test_colliding_surrogates_draw_again(spark):
     entities = [("ip", f"10.0.{i // 250}.{1 + i % 250}") for i in range(3000)] + [("email", f"{c}@b.co") for c in "abcdefghijklmnop"]
     again = {(r["kind"], r["value"]): r["draw"] for r in pii.drawn_again(spark.createDataFrame(entities, "kind string, value string"), b"k").collect()}
