@@ -15,13 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from plantcast.llm.shared import group_count, text_batches
 from plantcast.llm.tokens import word_ids
 
 CAPACITY = 4096
 GROUP_BYTES = 16 << 20
-_PIECES = "key {key}, start long, length long, doc_tokens long, copy long, ids binary"
+_PIECES = "key {key}, row long, start long, length long, doc_tokens long, copy long, ids binary"
 _PACKED = "key {key}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
@@ -65,21 +66,21 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
         encode, seen = word_ids(tokenizer).encode, Counter()
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["key"], pdf["text"]):
+            for key, row, text in zip(pdf["key"], pdf["row"], pdf["text"]):
                 ids = encode(text) + end
-                total, copy = len(ids) // 4, seen[key]
-                seen[key] += 1
+                total, copy = len(ids) // 4, seen[row]
+                seen[row] += 1
                 for at in range(0, total, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((key, at, len(piece) // 4, total, copy, piece))
-            yield pd.DataFrame(rows, columns=["key", "start", "length", "doc_tokens", "copy", "ids"])
+                    rows.append((key, row, at, len(piece) // 4, total, copy, piece))
+            yield pd.DataFrame(rows, columns=["key", "row", "start", "length", "doc_tokens", "copy", "ids"])
 
     return cut
 
 
 def _pack(capacity: int):
     def pack(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "copy", "start"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["row", "copy", "start"], kind="stable").reset_index(drop=True)
         pdf["bin"] = first_fit_decreasing(pdf["length"].tolist(), capacity)
         pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
         pdf["sequence_id"] = (int(group[0]) << 32) + pdf["bin"]
@@ -98,10 +99,15 @@ def pack_documents(
     separate pieces and spread over the groups like any others. An empty table gives no rows.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    kind = docs.select(key).schema[0].dataType
+    # pandas holds numbers beside nulls as floating point, so they pass as text.
+    as_text = isinstance(kind, (NumericType, BooleanType))
+    carried = "string" if as_text else kind.simpleString()
+    # Equal rows of a partition are told apart by their copy, those of two partitions by its number.
+    row = F.xxhash64(F.col(key), F.col(text), F.spark_partition_id())
+    rows = docs.select(F.col(key).cast(carried).alias("key"), row.alias("row"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    kind = rows.schema["key"].dataType.simpleString()
-    pieces = rows.mapInPandas(_cut(tokenizer, end_id, capacity), _PIECES.format(key=kind))
-    group = F.pmod(F.xxhash64("key", "start", "copy"), F.lit(group_count(size, GROUP_BYTES))).alias("g")
-    packed = pieces.groupBy(group).applyInPandas(_pack(capacity), _PACKED.format(key=kind))
-    return packed.withColumnRenamed("key", key)
+    pieces = rows.mapInPandas(_cut(tokenizer, end_id, capacity), _PIECES.format(key=carried))
+    group = F.pmod(F.xxhash64("row", "start", "copy"), F.lit(group_count(size, GROUP_BYTES))).alias("g")
+    packed = pieces.groupBy(group).applyInPandas(_pack(capacity), _PACKED.format(key=carried))
+    return packed.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -143,6 +144,18 @@ def test_packing(docs, none, library):
     assert packing.pack_documents(none, PATH, 2).count() == 0
 
 
+def test_packing_keeps_long_keys_and_spreads_null_ones(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100)
+    big = 2**53 + 1
+    rows = [(None, "same words") for _ in range(60)] + [(None, f"other {i}") for i in range(60)] + [(big + 2 * i, f"text {i}") for i in range(60)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), PATH, 2)
+    assert packed.schema["doc_id"].dataType.simpleString() == "bigint"
+    found = packed.collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == [big + 2 * i for i in range(60)]
+    groups = Counter(r["sequence_id"] >> 32 for r in found if r["doc_id"] is None)
+    assert sum(groups.values()) == 120 and len(groups) > 5 and max(groups.values()) < 40
+
+
 def test_first_fit_decreasing_matches_plain_search():
     sizes = np.random.default_rng(2).integers(1, 100, 300).tolist()
     free, bins = [100] * 300, [0] * 300
