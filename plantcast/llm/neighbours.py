@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantcast.llm.lattice import unit_rows, usable
-from plantcast.llm.shared import group_count, stored
+from plantcast.llm.shared import group_count, salted_lookup, stored
 
 NEIGHBOURS = 30
 LEAF = 256
@@ -33,6 +33,8 @@ ENTRIES = 8
 MAX_HOPS = 40
 PAIRS_PER_GROUP = 1 << 18
 SEED = 5
+# Groups that the rows of one vector are dealt to, step by step, when the smallest keys are sought.
+FIRST_SALTS = (64, 8, 1)
 _EDGE = "u long, v long, s float, fresh boolean"
 
 
@@ -62,19 +64,36 @@ def lengthened(blobs, dim: int) -> np.ndarray:
     return raw[:, 4:].view(np.int8).astype(np.float32) * (top / 127)
 
 
-def index_nodes(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """Written table ``node``, ``key``, ``vector``, ``unit`` (32-bit), ``small`` (8-bit) of the usable vectors, and their length.
-    Vectors of another length than the most frequent one take no part."""
-    sound = stored(rows.where(usable(F.col(vector))).select(F.monotonically_increasing_id().alias("node"), F.col(key).alias("key"), F.col(vector).alias("vector")), "vectors")
-    common = sound.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = common["dim"] if common else 1
+def distinct_vectors(rows: DataFrame, asked: Column, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the usable rows (``row``, ``key``, ``asked``, ``vector``, ``mark``) and of their distinct vectors
+    (``node``, ``mark``, ``dim``, ``vector``)."""
+    vec = F.col(vector)
+    mark = F.struct(F.xxhash64(vec).alias("a"), F.xxhash64(vec, F.lit(1)).alias("b")).alias("mark")
+    row = F.monotonically_increasing_id().alias("row")
+    members = stored(rows.where(usable(vec)).select(row, F.col(key).alias("key"), asked.alias("asked"), vec.alias("vector"), mark), "vectors")
+    distinct = members.groupBy("mark", "vector").agg(F.count(F.lit(1)).alias("n"))
+    return members, stored(distinct.select(F.monotonically_increasing_id().alias("node"), "mark", F.size("vector").alias("dim"), "vector"), "distinct")
+
+
+def first_rows(members: DataFrame, keep: int) -> DataFrame:
+    """``mark``, ``first``: the ``keep`` rows of smallest key of each vector (``key``, ``row``), cut in steps so that no task
+    meets all rows of a vector."""
+    slim = members.select("mark", "key", "row")
+    for salts in FIRST_SALTS:
+        order = Window.partitionBy("mark", F.pmod(F.xxhash64("row"), F.lit(salts))).orderBy(F.col("key").asc_nulls_last(), "row")
+        slim = slim.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= keep).drop("_place")
+    return slim.groupBy("mark").agg(F.collect_list(F.struct("key", "row")).alias("first"))
+
+
+def index_nodes(distinct: DataFrame, dim: int) -> DataFrame:
+    """Written table ``node``, ``mark``, ``unit`` (32-bit), ``small`` (8-bit) of the distinct vectors of length ``dim``."""
 
     @F.pandas_udf("unit binary, small binary")
     def forms(vectors: pd.Series) -> pd.DataFrame:
         x = unit_rows(vectors).astype(np.float32) if len(vectors) else np.zeros((0, dim), np.float32)
         return pd.DataFrame({"unit": [r.tobytes() for r in x], "small": shortened(x)}, dtype=object)
 
-    return stored(sound.where(F.size("vector") == dim).withColumn("_f", forms("vector")).select("*", "_f.unit", "_f.small").drop("_f"), "nodes"), dim
+    return stored(distinct.where(F.col("dim") == dim).withColumn("_f", forms("vector")).select("node", "mark", "_f.unit", "_f.small"), "nodes")
 
 
 def _leaf_graph(nodes: DataFrame, dim: int, count: int, keep: int) -> DataFrame:
@@ -255,19 +274,30 @@ def nearest(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str = "
     over ``key``) holds.
 
     Rows with equal keys or vectors are separate candidates; only the query's own row is none. Vectors that are null, zero
-    or hold null or non-finite numbers take no part. Equal scores rank by key. An empty table gives no rows.
+    or hold null or non-finite numbers take no part, nor do those of another length than the most frequent one. Equal scores
+    rank by key. An empty table gives no rows.
+
+    Equal vectors are one node of the graph. Its ``k + 1`` rows of smallest key stand for it, since a query may be one of them.
     """
-    nodes, dim = index_nodes(rows, key, vector)
-    graph = build_graph(nodes, dim)
-    named = nodes.withColumnRenamed("key", key)
-    queries = stored(named.where(asked).select(F.col("node").alias("q"), "unit"), "queries")
-    found = search_graph(nodes, dim, graph, queries)
+    members, distinct = distinct_vectors(rows, asked, key, vector)
+    common = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = common["dim"] if common else 1
+    nodes = index_nodes(distinct, dim)
+    asking = members.where("asked").select("row", "key", "mark")
+    queries = stored(nodes.join(asking.select("mark").distinct(), "mark").select(F.col("node").alias("q"), "unit"), "queries")
+    found = search_graph(nodes, dim, build_graph(nodes, dim), queries)
     # Scores of the search are in single precision, so more are measured again than are returned.
     near = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     short = found.withColumn("_place", F.row_number().over(near)).where(F.col("_place") <= 4 * k).select("q", "v")
-    left = nodes.select(F.col("node").alias("q"), F.col("key").alias("query_id"), F.col("vector").alias("_a"))
-    right = nodes.select(F.col("node").alias("v"), F.col("key").alias("vec_id"), F.col("vector").alias("_b"))
-    scored = short.join(left, "q").join(right, "v").select("q", "query_id", "vec_id", "v", cosine(F.col("_a"), F.col("_b")).alias("score"))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "v")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    short = short.union(queries.select("q", F.col("q").alias("v")))
+    firsts = distinct.join(first_rows(members, k + 1), "mark")
+    left = distinct.select(F.col("node").alias("q"), "mark", F.col("vector").alias("_a"))
+    right = firsts.select(F.col("node").alias("v"), F.col("vector").alias("_b"), "first")
+    scored = short.join(left, "q").join(right, "v").select("q", "mark", cosine(F.col("_a"), F.col("_b")).alias("score"), F.explode("first").alias("_r"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("_r.key").asc_nulls_last(), "_r.row")
+    ranked = scored.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1)
+    lists = ranked.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("_place", "_r", "score"))).alias("_list"))
+    answered = salted_lookup(asking, lists, "mark", F.col("row"))
+    others = F.slice(F.filter("_list", lambda x: x["_r"]["row"] != F.col("row")), 1, k)
+    answers = answered.select(F.col("key").alias("query_id"), F.posexplode(others).alias("_at", "_x"))
+    return answers.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_x._r.key").alias("vec_id"), F.col("_x.score").alias("score"))

@@ -106,6 +106,26 @@ def test_nearest(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_of_many_copies_are_those_of_smallest_key(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    x[rng.permutation(1200)[:500]] = x[3]
+    ids = rng.permutation(1200)
+    frame = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<float>").repartition(5)
+    found = neighbours.nearest(frame, F.col("vec_id") % 40 == 0).toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    copies = (x == x[3]).all(axis=1)
+    whole = total = 0
+    for at in np.flatnonzero(ids % 40 == 0):
+        s = np.round(unit @ unit[at], 9)
+        s[at] = -2
+        expected = ids[np.lexsort((ids, -s))[:5]].tolist()
+        got = found[found["query_id"] == ids[at]].sort_values("rank")["vec_id"].tolist()
+        assert len(got) == 5 and not (copies[at] and got != expected)
+        whole, total = whole + (got == expected), total + 1
+    assert whole / total >= 0.9
+
+
 def test_few_vectors(spark):
     rows = vectors(spark, np.eye(3, dtype=np.float32), [0, 0, 0])
     found = neighbours.nearest(rows, F.lit(True)).collect()
