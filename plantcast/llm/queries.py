@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantcast.llm.alignment import align_texts, link_counts
 from plantcast.llm.id_files import read_id_files, write_id_files
 from plantcast.llm.lattice import near_vectors
 from plantcast.llm.mixing import mix, mix_table
 from plantcast.llm.neighbours import nearest
 from plantcast.llm.packing import pack_documents
+from plantcast.llm.periodic import find_runs
 from plantcast.llm.pii import replace_entities
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from plantcast.llm.secrets import KINDS, count_kind, find_secrets
@@ -103,3 +105,44 @@ def op10_frequency_ranked_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = write_id_files(docs, public_tokenizers.path(VOCABULARY), end_id=1)
     read = read_id_files(spark, path)
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    aligned = align_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    counted = link_counts(aligned.select("*", digest).drop("groups"))
+    return counted.select(F.col("key").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def planted_period(key: Column, text: Column) -> Column:
+    """The text of every tenth key with its words from one place on replaced by repeats of the words there."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    times = F.ceil((n - a) / p).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), times))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int"))), " ")
+    return F.when((h % 10 == 0) & text.isNotNull() & (n > 0), planted).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    found = find_runs(docs.withColumn("text", planted_period(F.col("doc_id"), F.col("text"))))
+    # length / period from high to low, without rounding.
+    share = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = lambda x, y: F.coalesce(*(F.nullif(d, F.lit(0)) for d in (share(x, y), x["start"] - y["start"], x["period"] - y["period"])), F.lit(0))
+    best = F.get(F.array_sort("runs", lambda x, y: F.signum(order(x, y)).cast("int")), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat_ws("", F.transform(lines, lambda line: F.concat(line, F.lit("\n"))))
+    named = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed")
+    return named.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -14,7 +14,7 @@ TEXT_ROWS = 1000
 TEXT_BYTES = 8 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage at a table that survives lost executors, fixes values that depend on row order, and tells
@@ -22,7 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
