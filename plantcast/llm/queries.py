@@ -15,6 +15,7 @@ from plantcast.llm.packing import pack_documents
 from plantcast.llm.periodic import find_runs
 from plantcast.llm.pii import replace_entities
 from plantcast.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from plantcast.llm.repeats import remove_repeats
 from plantcast.llm.secrets import KINDS, count_kind, find_secrets
 from plantcast.llm.shared import read_table, stored
 from plantcast.llm.simhash import fingerprint_hex, simhash_groups
@@ -107,6 +108,15 @@ def op10_frequency_ranked_ids(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op11_prefix_doubling_repeats")
+def op11_prefix_doubling_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, folder, "documents", ["doc_id", "text"]))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op12_tokenizer_alignment")
 def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
