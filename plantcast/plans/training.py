@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassificationModel,
@@ -14,12 +16,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantcast.functions.columns import clip
+from plantcast.operators.boosting import fit_with_patience, in_parallel
 from plantcast.operators.cleaning import complete_cases
 from plantcast.operators.metrics import classifier_metrics_frame, importance_frame, regression_metrics
 from plantcast.operators.split import hash_folds, random_split, stratified_folds, stratified_split, time_split
@@ -33,6 +36,10 @@ SCRAP_RISK_MODEL = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5, "subsamplin
 SCRAP_PCT_MODEL = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 THREE_TARGET_MODEL = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.8}
 POSITIVE_WEIGHT = 2.0
+# Rounds without gain after which the scrap models stop.
+PATIENCE = 20
+# Features in front of the quantity model of the three-target variant.
+SELECTED_FEATURES = 8
 SEED = 42
 MAX_BINS = 128
 FOLDS = 5
@@ -80,11 +87,22 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 @dataclass
 class Trained:
-    """A fitted model with its hold-out metrics (one row) and feature importances."""
+    """A fitted model with its hold-out metrics (one row), feature importances and number of boosting rounds kept."""
 
     model: object
     metrics: DataFrame
     importances: DataFrame
+    rounds: int | None = None
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.metrics.withColumn("rounds_kept", F.lit(self.rounds).cast("int")).coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+        self.importances.coalesce(1).write.mode("overwrite").parquet(f"{path}/importances")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, kind: type) -> "Trained":
+        metrics = spark.read.parquet(f"{path}/metrics")
+        return cls(kind.load(f"{path}/model"), metrics.drop("rounds_kept"), spark.read.parquet(f"{path}/importances"), metrics.first().rounds_kept)
 
 
 def _importances(spark: SparkSession, features: Sequence[str], model) -> DataFrame:
@@ -101,20 +119,22 @@ def train_forecast(df: DataFrame, features: Sequence[str] = FORECAST_FEATURES, l
     learner = GBTRegressor(seed=SEED, maxBins=MAX_BINS, **{**FORECAST_MODEL, **overrides})
     model = learner.fit(rows.where("is_train"))
     scored = model.transform(rows.where("NOT is_train"))
-    return Trained(model, regression_metrics(scored, "label", "prediction"), _importances(df.sparkSession, features, model))
+    return Trained(model, regression_metrics(scored, "label", "prediction"), _importances(df.sparkSession, features, model), model.getNumTrees)
 
 
 def cross_validated_r2(df: DataFrame, features: Sequence[str] = FORECAST_FEATURES, label: str = "forecast_qty", folds: int = FOLDS, **overrides) -> DataFrame:
-    """R2 of every fold."""
+    """R2 of every fold; the folds are fitted side by side."""
     rows = hash_folds(model_rows(df, features, label, {ROW_KEY: grain_key()}), ROW_KEY, folds, SEED)
-    learner = GBTRegressor(seed=SEED, maxBins=MAX_BINS, **{**FORECAST_MODEL, **overrides})
-    out = None
-    for fold in range(folds):
+
+    def score(fold: int) -> tuple[int, float]:
+        learner = GBTRegressor(seed=SEED, maxBins=MAX_BINS, **{**FORECAST_MODEL, **overrides})
         model = learner.fit(rows.where(F.col("fold") != fold))
         scored = model.transform(rows.where(F.col("fold") == fold))
-        part = regression_metrics(scored, "label", "prediction").select(F.lit(fold).alias("fold"), "r2")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return fold, regression_metrics(scored, "label", "prediction").first().r2
+
+    # One number per fold.
+    found = in_parallel([lambda fold=fold: score(fold) for fold in range(folds)])
+    return df.sparkSession.createDataFrame(found, "fold int, r2 double")
 
 
 def summarise_folds(folds: DataFrame) -> DataFrame:
@@ -178,13 +198,14 @@ class CalibratedForest:
 def fit_calibrated_forest(rows: DataFrame, folds: int = FOLDS, **overrides) -> CalibratedForest:
     """``rows`` has a unique row key, a label and a feature vector."""
     folded = stratified_folds(rows, ROW_KEY, "label", folds, SEED).checkpoint()
-    learner = RandomForestClassifier(seed=SEED, maxBins=MAX_BINS, weightCol="weight", **{**SHORTAGE_MODEL, **overrides})
-    members = []
-    for fold in range(folds):
+
+    def member(fold: int) -> tuple[RandomForestClassificationModel, float, float]:
+        learner = RandomForestClassifier(seed=SEED, maxBins=MAX_BINS, weightCol="weight", **{**SHORTAGE_MODEL, **overrides})
         forest = learner.fit(class_weights(folded.where(F.col("fold") != fold)))
         held = forest.transform(folded.where(F.col("fold") == fold)).withColumn("_raw", positive_probability())
-        members.append((forest, *fit_sigmoid(held, "_raw")))
-    return CalibratedForest(members)
+        return forest, *fit_sigmoid(held, "_raw")
+
+    return CalibratedForest(in_parallel([lambda fold=fold: member(fold) for fold in range(folds)]))
 
 
 def train_shortage(df: DataFrame, features: Sequence[str] = SHORTAGE_FEATURES, label: str = "shortage_flag", **overrides) -> tuple[Trained, CalibratedForest, DataFrame]:
@@ -216,36 +237,37 @@ def scrap_rows(df: DataFrame, label: str) -> DataFrame:
     return tenth.withColumn("is_validation", F.col("_tenth") == 0).drop("_tenth")
 
 
-def train_scrap_risk(df: DataFrame, label: str = "target", **overrides) -> Trained:
-    """Boosted risk classifier; positives weigh double."""
+def _fit_scrap(learner, rows: DataFrame, patience: int):
+    train = rows.where("is_train")
+    return fit_with_patience(learner, train.where("NOT is_validation"), train.where("is_validation"), patience)
+
+
+def train_scrap_risk(df: DataFrame, label: str = "target", patience: int = PATIENCE, **overrides) -> Trained:
+    """Boosted risk classifier; positives weigh double. Rounds after the best one on the validation rows are dropped."""
     rows = scrap_rows(df, label).withColumn("weight", F.when(F.col("label") == 1, POSITIVE_WEIGHT).otherwise(1.0))
-    learner = GBTClassifier(
-        seed=SEED, maxBins=MAX_BINS, weightCol="weight", validationIndicatorCol="is_validation",
-        **{**SCRAP_RISK_MODEL, **overrides},
-    )
-    model = learner.fit(rows.where("is_train"))
+    learner = GBTClassifier(seed=SEED, maxBins=MAX_BINS, weightCol="weight", **{**SCRAP_RISK_MODEL, **overrides})
+    model, kept = _fit_scrap(learner, rows, patience)
     scored = model.transform(rows.where("NOT is_train")).withColumn("score", positive_probability())
-    return Trained(model, classifier_metrics_frame(scored, "label", "prediction", "score"), _importances(df.sparkSession, SCRAP_FEATURES, model))
+    return Trained(model, classifier_metrics_frame(scored, "label", "prediction", "score"), _importances(df.sparkSession, SCRAP_FEATURES, model), kept)
 
 
-def train_scrap_pct(df: DataFrame, label: str = "scrap_rate_pct", **overrides) -> Trained:
-    """Boosted scrap-percentage regressor on the same split."""
+def train_scrap_pct(df: DataFrame, label: str = "scrap_rate_pct", patience: int = PATIENCE, **overrides) -> Trained:
+    """Boosted scrap-percentage regressor on the same split, with the same rule."""
     rows = scrap_rows(df, label)
-    learner = GBTRegressor(
-        seed=SEED, maxBins=MAX_BINS, validationIndicatorCol="is_validation", **{**SCRAP_PCT_MODEL, **overrides}
-    )
-    model = learner.fit(rows.where("is_train"))
+    learner = GBTRegressor(seed=SEED, maxBins=MAX_BINS, **{**SCRAP_PCT_MODEL, **overrides})
+    model, kept = _fit_scrap(learner, rows, patience)
     scored = model.transform(rows.where("NOT is_train"))
-    return Trained(model, regression_metrics(scored, "label", "prediction"), _importances(df.sparkSession, SCRAP_FEATURES, model))
+    return Trained(model, regression_metrics(scored, "label", "prediction"), _importances(df.sparkSession, SCRAP_FEATURES, model), kept)
 
 
 @dataclass
 class ThreeTargets:
-    """Flag classifier, probability regressor and order-quantity regressor over one feature vector."""
+    """Flag classifier, probability regressor and order-quantity regressor over one feature vector. The quantity model is a
+    pipeline: a selector keeps the strongest features of its target, the regressor sees only these."""
 
-    flag: object
-    probability: object
-    quantity: object
+    flag: GBTClassificationModel
+    probability: GBTRegressionModel
+    quantity: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Prediction columns; expects ``features``."""
@@ -254,36 +276,70 @@ class ThreeTargets:
             {"pred_shortage_flag": F.col("prediction").cast("int"), "pred_shortage_confidence": positive_probability()}
         ).drop(*spare)
         df = self.probability.transform(df).withColumn("pred_shortage_prob", clip(F.col("prediction"), 0.0, 1.0)).drop(*spare)
-        return self.quantity.transform(df).withColumn("pred_order_qty", clip(F.col("prediction"), 0.0).cast("int")).drop(*spare)
+        return self.quantity.transform(df).withColumn("pred_order_qty", clip(F.col("prediction"), 0.0).cast("int")).drop(*spare, "selected")
+
+    def save(self, path: str) -> None:
+        for name in ("flag", "probability", "quantity"):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, path: str) -> "ThreeTargets":
+        return cls(GBTClassificationModel.load(f"{path}/flag"), GBTRegressionModel.load(f"{path}/probability"), PipelineModel.load(f"{path}/quantity"))
 
 
 def train_three_targets(rows: DataFrame, flag: str, probability: str, quantity: str, **overrides) -> ThreeTargets:
-    """``rows`` has ``features`` and the three targets."""
+    """``rows`` has ``features`` and the three targets. The models are fitted side by side."""
     settings = {**THREE_TARGET_MODEL, **overrides}
     common = {"seed": SEED, "maxBins": MAX_BINS, **settings}
-    return ThreeTargets(
-        GBTClassifier(labelCol=flag, **common).fit(rows),
-        GBTRegressor(labelCol=probability, **common).fit(rows),
-        GBTRegressor(labelCol=quantity, **common).fit(rows),
-    )
+    selected = Pipeline(stages=[
+        feature_selector(quantity, SELECTED_FEATURES), GBTRegressor(labelCol=quantity, featuresCol="selected", **common),
+    ])
+    learners = [GBTClassifier(labelCol=flag, **common), GBTRegressor(labelCol=probability, **common), selected]
+    return ThreeTargets(*in_parallel([lambda learner=learner: learner.fit(rows) for learner in learners]))
 
 
-def select_features(rows: DataFrame, label: str, count: int):
+def feature_selector(label: str, count: int) -> UnivariateFeatureSelector:
     """Univariate selector that keeps the ``count`` strongest features of a numeric target."""
     selector = UnivariateFeatureSelector(featuresCol="features", outputCol="selected", labelCol=label, selectionMode="numTopFeatures")
-    return selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(count).fit(rows)
+    return selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(count)
 
 
-def search_parameters(rows: DataFrame, label: str, grid: Mapping[str, Sequence[float]], folds: int = 3, **fixed) -> DataFrame:
-    """Cross-validated R2 of every parameter combination; the best one is marked."""
-    learner = GBTRegressor(labelCol=label, seed=SEED, maxBins=MAX_BINS, **fixed)
+def select_features(rows: DataFrame, label: str, count: int):
+    return feature_selector(label, count).fit(rows)
+
+
+@dataclass
+class Search:
+    """Cross-validated R2 of every parameter combination, the best combination, and hold-out metrics of a model refitted
+    with it beside those of a model with the settings that the search started from."""
+
+    combinations: DataFrame
+    best: dict[str, float]
+    comparison: DataFrame
+    model: GBTRegressionModel
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.combinations.coalesce(1).write.mode("overwrite").parquet(f"{path}/combinations")
+        self.comparison.coalesce(1).write.mode("overwrite").parquet(f"{path}/comparison")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Search":
+        combinations = spark.read.parquet(f"{path}/combinations")
+        best = dict(p.split("=") for p in combinations.where("is_best").first().params.split(", "))
+        return cls(combinations, {k: float(v) for k, v in best.items()}, spark.read.parquet(f"{path}/comparison"), GBTRegressionModel.load(f"{path}/model"))
+
+
+def _cross_validate(rows: DataFrame, label: str, grid: Mapping[str, Sequence[float]], folds: int, settings: Mapping) -> tuple[DataFrame, dict[str, float], GBTRegressionModel]:
+    """Table of the combinations, the best one, and the model that the search refits with it on all ``rows``."""
+    learner = GBTRegressor(labelCol=label, seed=SEED, maxBins=MAX_BINS, **settings)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
     combos = builder.build()
     folded = hash_folds(rows, ROW_KEY, folds, SEED)
     search = CrossValidator(
-        estimator=learner, estimatorParamMaps=combos, foldCol="fold", numFolds=folds, parallelism=2,
+        estimator=learner, estimatorParamMaps=combos, foldCol="fold", numFolds=folds, parallelism=4,
         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
     ).fit(folded)
     best = max(range(len(combos)), key=lambda i: search.avgMetrics[i])
@@ -291,4 +347,25 @@ def search_parameters(rows: DataFrame, label: str, grid: Mapping[str, Sequence[f
         (i, ", ".join(f"{p.name}={v}" for p, v in sorted(c.items(), key=lambda kv: kv[0].name)), float(search.avgMetrics[i]), i == best)
         for i, c in enumerate(combos)
     ]
-    return rows.sparkSession.createDataFrame(table, "combination int, params string, r2 double, is_best boolean")
+    frame = rows.sparkSession.createDataFrame(table, "combination int, params string, r2 double, is_best boolean")
+    return frame, {p.name: float(v) for p, v in combos[best].items()}, search.bestModel
+
+
+def search_parameters(rows: DataFrame, label: str, grid: Mapping[str, Sequence[float]], folds: int = 3, **fixed) -> DataFrame:
+    """Cross-validated R2 of every parameter combination; the best one is marked."""
+    return _cross_validate(rows, label, grid, folds, fixed)[0]
+
+
+def search_and_refit(rows: DataFrame, label: str, grid: Mapping[str, Sequence[float]], folds: int = 3, **overrides) -> Search:
+    """Searches on four fifths of the rows from the published settings on, refits there with the best combination and scores
+    it on the rest, beside a model with the published settings."""
+    settings = {**THREE_TARGET_MODEL, **overrides}
+    split = random_split(rows, ROW_KEY, seed=SEED)
+    train, test = split.where("is_train").drop("is_train").checkpoint(), split.where("NOT is_train")
+    combinations, best, model = _cross_validate(train, label, grid, folds, settings)
+    published = GBTRegressor(labelCol=label, seed=SEED, maxBins=MAX_BINS, **settings).fit(train)
+    scores = [
+        regression_metrics(m.transform(test), label, "prediction").select(F.lit(name).alias("settings"), "*")
+        for name, m in (("best", model), ("published", published))
+    ]
+    return Search(combinations, best, scores[0].unionByName(scores[1]), model)
