@@ -104,8 +104,8 @@ def op8_pack_first_fit_decreasing(spark: SparkSession, folder: str) -> DataFrame
 def op10_frequency_ranked_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", ["doc_id", "text"])
     path = write_id_files(docs, public_tokenizers.path(VOCABULARY), end_id=1)
-    read = read_id_files(spark, path)
-    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    read = read_id_files(spark, path, ids_crc32=F.crc32("ids"))
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 @query("op11_prefix_doubling_repeats")

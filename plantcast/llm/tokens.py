@@ -13,14 +13,22 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-# Words remembered by one Python worker. The table is emptied when full; ids do not depend on it.
-REMEMBERED = 400_000
+# What one Python worker remembers: at most twice so many words and so many bytes (an estimate with the cost of the
+# table), none of them longer than ``LONGEST`` bytes. Ids do not depend on it.
+REMEMBERED = 250_000
+REMEMBERED_BYTES = 128 << 20
+LONGEST = 64
+ENTRY_BYTES = 200
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
-_PROBE = "A b's  don't\tÉtÉ... x1 Ünï!?\x0b<|endoftext|>y <|END, 'll z ** 12,3"
+_PROBE = "A b's  don't\tÉtÉ... x1 Ünï!?\x0b<|endoftext|>y <|END, 'll z ** 12,3"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit numbers."""
+    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
+
+    Words are remembered in two tables: when the younger one is full it takes the place of the older one, and words found
+    in the older one move to the younger. So frequent words stay and memory is bounded.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -28,7 +36,9 @@ class WordIds:
         self.tokenizer.no_padding()
         self._bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._words: dict[bytes, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+        self._bytes = 0
         whole = self._library(_PROBE)
         if whole != b"".join(self._library(w) for w in _PROBE.split()) or whole != self.encode(_PROBE.encode()):
             raise ValueError(f"{path}: the ids of a text are not those of its words")
@@ -38,30 +48,36 @@ class WordIds:
 
     def _run(self, run: str, letters: bool) -> bytes:
         """Ids of one run of letters or of marks, which the pre-tokenizer keeps whole."""
-        found = self._parts.get(run)
+        found = self._runs.get(run)
         if found is None:
             if letters:
                 mapped = run if run.isascii() else self._bytes_as_text.pre_tokenize_str(run)[0][0]
                 found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
             else:
                 found = self._library(run)
-            self._parts[run] = found
+            self._runs[run] = found
+            self._bytes += ENTRY_BYTES + len(run) + len(found)
         return found
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        if len(self._parts) > REMEMBERED:
-            self._parts.clear()
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Remembers new words; returns the ids of those that are too long for that."""
+        fresh = {}
         for word in words:
-            text = word.decode()
+            text = word.decode("utf-8", "replace")
+            if len(word) > LONGEST:
+                fresh[word] = self._library(text)
+                continue
             plain = _LETTERS_THEN_MARKS.fullmatch(text)
             if plain:
                 letters, marks = plain.groups()
                 ids = self._run(letters.lower(), True)
-                self._words[word] = ids + self._run(marks, False) if marks else ids
+                if marks:
+                    ids += self._run(marks, False)
             else:
-                self._words[word] = self._library(text)
+                ids = self._library(text)
+            self._words[word] = ids
+            self._bytes += ENTRY_BYTES + len(word) + len(ids)
+        return fresh
 
     def encode(self, raw: bytes | None) -> bytes:
         """Ids of a UTF-8 text; none for null."""
@@ -70,15 +86,18 @@ class WordIds:
         # Special tokens are matched before letter case is dropped.
         words = (raw if b"<|" in raw else raw.lower()).split()
         known = self._words
-        try:
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if not new:
             return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(words)
-        self._learn(new)
+        older = self._older
+        kept = {w: older[w] for w in new if w in older}
+        known.update(kept)
+        self._bytes += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in kept.items())
+        fresh = self._learn([w for w in new if w not in kept])
+        if len(known) > REMEMBERED or self._bytes > REMEMBERED_BYTES:
+            self._older, self._words, self._runs, self._bytes = known, {}, {}, 0
+        if fresh:
+            return b"".join([fresh[w] if w in fresh else known[w] for w in words])
         return b"".join([known[w] for w in words])
 
 
