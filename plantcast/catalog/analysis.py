@@ -12,7 +12,7 @@ from plantcast.operators import aggregates as agg
 from plantcast.operators import metrics, split
 from plantcast.operators.encode import DEFECT_CODES, SHIFT_CODES, apply_encoder, fit_encoder, fixed_code
 from plantcast.operators.keyed import latest_per_key
-from plantcast.operators.ordered import quantiles, rolling_means, weekly_lags, weekly_rolling
+from plantcast.operators.ordered import calendar_lags, calendar_rolling, quantiles, rolling_means, weekly_lags, weekly_rolling
 from plantcast.plans import demand, scrap
 from plantcast.plans.reports import high_risk
 from plantcast.sources.schemas import KEYS, SCRAP_FEATURES
@@ -76,6 +76,23 @@ def agg_means_and_spread(t):
     )
 
 
+SKETCHED = ("machine_id", "material_no", "inspection_lot")
+
+
+@query("agg_distinct_sketches", with_views(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_exact, true AS weeks_within_bound FROM scrap_quality" for c in SKETCHED), "scrap_quality"))
+def agg_distinct_sketches(t):
+    """Distinct counts from sketches kept per day and merged, beside the exact counts: they must lie within four standard
+    errors (3.3 %, or one)."""
+    lots = t.scrap_quality().select("inspection_date", *SKETCHED)
+    estimated = agg.merged_distinct(agg.distinct_sketches(lots, ["inspection_date"], SKETCHED), SKETCHED)
+    exact = lots.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED])
+    values = [df.unpivot([], list(SKETCHED), "column_name", name) for df, name in ((exact, "n_exact"), (estimated, "n_merged"))]
+    both = values[0].join(values[1], "column_name")
+    bound = F.greatest(F.lit(1.0), F.col("n_exact") * 0.033)
+    return both.select("column_name", "n_exact", (F.abs(F.col("n_merged") - F.col("n_exact")) <= bound).alias("weeks_within_bound"))
+
+
 def _describe_sql(source: str, column: str) -> str:
     return f"""SELECT '{column}' AS column_name, count({column}) AS n, round(avg({column}), 8) AS mean, round(stddev_samp({column}), 8) AS std,
       round(min({column})::DOUBLE, 8) AS min, round(quantile_cont({column}::DOUBLE, 25e-2), 8) AS q25, round(quantile_cont({column}::DOUBLE, 5e-1), 8) AS q50,
@@ -161,6 +178,25 @@ def win_weekly_lags(t):
     return df.select("week_no", "material_no", "stock_level_lag1", "stock_level_lag2", "shortage_prob_lag1", rounded("stock_roll3"), rounded("demand_roll3"))
 
 
+SERIES = ("material_no", "scenario")
+
+
+@query("win_calendar_lags", with_views("""
+  SELECT week_no, material_no, scenario, max(stock_level) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS stock_lag1,
+    max(stock_level) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS stock_lag2, round(avg(stock_level) OVER (w RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS stock_roll3
+  FROM (SELECT week_no, material_no, 'PLAN' AS scenario, stock_level::DOUBLE AS stock_level FROM material_replenishment WHERE week_no % 5 <> 0
+    UNION ALL SELECT week_no, material_no, 'WHAT_IF', stock_level + 10e0 FROM material_replenishment WHERE week_no % 3 <> 0)
+  WINDOW w AS (PARTITION BY material_no, scenario ORDER BY week_no)""", "material_replenishment"))
+def win_calendar_lags(t):
+    """Lags and means by calendar distance over series with missing weeks and two scenarios in a week."""
+    stock = t.material_replenishment().select("week_no", "material_no", F.col("stock_level").cast("double").alias("stock_level"))
+    plan = stock.where("week_no % 5 <> 0").withColumn("scenario", F.lit("PLAN"))
+    what_if = stock.where("week_no % 3 <> 0").withColumns({"scenario": F.lit("WHAT_IF"), "stock_level": F.col("stock_level") + 10})
+    df = calendar_lags(plan.unionByName(what_if), SERIES, "week_no", {"stock_lag1": ("stock_level", 1), "stock_lag2": ("stock_level", 2)})
+    df = calendar_rolling(df, SERIES, "week_no", 3, {"stock_roll3": "stock_level"})
+    return df.select("week_no", *SERIES, "stock_lag1", "stock_lag2", rounded("stock_roll3"))
+
+
 @query("win_latest_per_key", with_views("""
   SELECT week_no, material_no, row_id, pred_order_qty FROM (
     SELECT *, row_number() OVER (PARTITION BY week_no, material_no ORDER BY predicted_at DESC, row_id DESC) AS rn FROM predictions) WHERE rn = 1""", "predictions"))

@@ -73,6 +73,30 @@ def src_metrics_document(t):
     return tables.read_nested_metrics(t.spark, path)
 
 
+_ORDER_METRICS = """SELECT unnest(['mae', 'rmse', 'r2', 'log_mape']) AS metric, unnest([avg(abs(a - p)), sqrt(avg(pow(a - p, 2))),
+      1 - sum(pow(a - p, 2)) / sum(pow(a - m, 2)), log10(avg(abs(a - p) / greatest(abs(a), 2.220446049250313e-16)))]) AS value
+    FROM (SELECT actual_order_qty AS a, pred_order_qty AS p, avg(actual_order_qty) OVER () AS m FROM predictions)"""
+
+
+@query("src_metric_log", with_views(f"""
+  SELECT run_ts, 'order_qty' AS model, metric, round(value, 6) AS value, NULL::INTEGER AS position, NULL::VARCHAR AS feature FROM ({_ORDER_METRICS}), (VALUES ('run_1'), ('run_2')) r(run_ts)
+  UNION ALL SELECT 'features', 'order_qty', NULL, NULL, i - 1, list_extract([{', '.join(repr(f) for f in FORECAST_FEATURES)}], i)
+    FROM (SELECT unnest(range(1, {len(FORECAST_FEATURES) + 1}))::INTEGER AS i) WHERE EXISTS (SELECT 1 FROM predictions)""", "predictions"))
+def src_metric_log(t):
+    """Metrics of two runs appended to one log as a nested document gives them, and the feature list of the model, read back."""
+    log, document, lists = (work_path(t.spark, n) for n in ("metric-log", "metric-document", "feature-lists"))
+    found = regression_metrics(t.predictions(), "actual_order_qty", "pred_order_qty").withColumn("log_mape", F.log10("mape")).drop("mape")
+    rows = stack_metrics({"order_qty": found}, 6)
+    inner = rows.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    inner.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("model", "m")))).alias("value")).write.text(document)
+    for run in ("run_1", "run_2"):
+        tables.append_metrics(tables.read_nested_metrics(t.spark, document).withColumn("run_ts", F.lit(run)), log)
+    tables.write_feature_lists(t.spark, {"order_qty": FORECAST_FEATURES}, lists)
+    features = tables.read_feature_lists(t.spark, lists).withColumn("run_ts", F.lit("features"))
+    both = t.spark.read.parquet(log).unionByName(features, allowMissingColumns=True)
+    return both.select("run_ts", "model", "metric", "value", F.col("position").cast("int").alias("position"), "feature")
+
+
 def lot_records(t):
     """Scoring records from enriched lots, as a client would send them."""
     return scrap.enriched_from(t).withColumn("inspection_date", F.col("inspection_date").cast("string"))

@@ -86,3 +86,19 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes: Sequen
     """One row per actual class, one column per predicted class."""
     wide = df.groupBy(actual).agg(*[F.count_if(F.col(predicted) == c).alias(f"pred_{c}") for c in classes])
     return wide
+
+
+# Size of distinct-count sketches as a power of two: the standard error is about 0.8 % at 14.
+SKETCH_POWER = 14
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], columns: Sequence[str], power: int = SKETCH_POWER) -> DataFrame:
+    """One mergeable sketch of the distinct values of each column per group, under the column's name. Unlike exact counts
+    they have a fixed size, can be stored per week and merged later. Nulls are not counted."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), power).alias(c) for c in columns])
+
+
+def merged_distinct(sketches: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values over all groups of stored sketches, or per coarser group."""
+    merged = [F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("long").alias(c) for c in columns]
+    return sketches.groupBy(*by).agg(*merged) if by else sketches.agg(*merged)

@@ -11,6 +11,8 @@ Null order values come first. Groups of a null key are groups like any other, un
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +38,9 @@ def with_chunk(df: DataFrame, order: Sequence[str], chunks: int | None = None) -
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on columns of equal names in which null equals null; the left ones stay."""
-    if not on:
-        return left.crossJoin(right)
+    """Join on columns (at least one) of equal names in which null equals null; the left ones stay."""
     other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    condition = None
-    for c in on:
-        equal = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
-        condition = equal if condition is None else condition & equal
+    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
     return left.join(other, condition, how).drop(*[f"_on_{c}" for c in on])
 
 
@@ -126,8 +123,9 @@ def rolling_means(
     The first rows of a group take what they lack from the last rows of the groups before it.
     """
     if rows < 2:
-        return df.withColumns({out: F.when(F.col(key).isNotNull(), F.col(value)) for out, key in means.items()})
-    chunked = with_chunk(df, order, chunks)
+        return df.withColumns({out: F.when(F.col(key).isNotNull(), F.col(value)) for out, key in means.items()}).drop(CHUNK)
+    # A frame that holds its chunks already was written for several uses.
+    chunked = df if CHUNK in df.columns else with_chunk(df, order, chunks)
     result = chunked
     for out, key in means.items():
         carried = _carried_rows(chunked, value, key, order, rows - 1)
@@ -181,3 +179,20 @@ def weekly_rolling(df: DataFrame, by: str, week: str, rows: int, means: Mapping[
     """Mean over the last ``rows`` weekly rows of a key (bounded like :func:`weekly_lags`)."""
     frame = Window.partitionBy(by).orderBy(week).rowsBetween(-(rows - 1), 0)
     return df.withColumns({out: F.avg(c).over(frame) for out, c in means.items()})
+
+
+def calendar_lags(df: DataFrame, by: Sequence[str], week: str, lags: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Values of the row exactly so many weeks earlier, whatever weeks are missing between; null if there is none.
+
+    ``by`` names the series: with the scenario among its columns, scenarios of one week do not mix. A series has at most one
+    row per week, so its group is bounded by the calendar. Rows with a null week have no earlier row.
+    """
+    order = Window.partitionBy(*by).orderBy(week)
+    known = F.col(week).isNotNull()
+    return df.withColumns({out: F.when(known, F.first(c).over(order.rangeBetween(-n, -n))) for out, (c, n) in lags.items()})
+
+
+def calendar_rolling(df: DataFrame, by: Sequence[str], week: str, weeks: int, means: Mapping[str, str]) -> DataFrame:
+    """Mean over the rows of the last ``weeks`` calendar weeks of a series, this one included; missing weeks count nothing."""
+    frame = Window.partitionBy(*by).orderBy(week).rangeBetween(-(weeks - 1), 0)
+    return df.withColumns({out: F.when(F.col(week).isNotNull(), F.avg(c).over(frame)) for out, c in means.items()})
