@@ -2,9 +2,9 @@
 
 The base patterns find assigned passwords and tokens, access keys and hexadecimal runs. A bounded sample of the found
 credentials, labelled by kind, trains one probabilistic automaton for each kind: their prefix tree, in which states
-are merged when the Hoeffding bound finds no difference between their outgoing and final frequencies. All other long
-mixed tokens are candidates; one that an automaton gives a likelihood as high as it gives nearly all of its own
-held-out credentials is added under the kind ``format``.
+are merged when the Hoeffding bound finds no difference between their outgoing and final frequencies. All other tokens of
+at least ``CANDIDATE_LENGTH`` characters are candidates, whatever they consist of; one that an automaton gives a likelihood as high as it gives nearly all of its own
+held-out credentials, and higher than any sampled word of plain letters, is added under the kind ``format``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ ALPHA = 0.05
 HELD_OUT = 5
 # Share of held-out credentials whose likelihood is below the threshold.
 BELOW = 0.02
-CANDIDATE_LENGTH = 16
+# As short as the shortest credential that the base patterns know.
+CANDIDATE_LENGTH = 12
+WORD = "word"
 
 _ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE
@@ -41,7 +44,7 @@ _LEAST = {"assign": 12, "access": 18, "hex": 16}
 # Every byte as ``h`` where it is a lower-case hexadecimal digit, so that runs are found by plain search.
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
 _TOKEN_MAP = bytes(116 if chr(b).isalnum() and b < 128 or chr(b) in "+/_.=-" else 32 for b in range(256))
-_HEX_RUN, _TOKEN_RUN = re.compile(rb"h{16,}"), re.compile(rb"t{16,}")
+_HEX_RUN, _TOKEN_RUN = re.compile(rb"h{16,}"), re.compile(rb"t{%d,}" % CANDIDATE_LENGTH)
 
 
 def base_matches(raw: bytes) -> list[tuple[int, int, bytes, bytes]]:
@@ -60,16 +63,25 @@ def base_matches(raw: bytes) -> list[tuple[int, int, bytes, bytes]]:
 
 
 def candidates(raw: bytes, base: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
-    """Tokens of at least ``CANDIDATE_LENGTH`` characters with a letter and a digit that no base span touches."""
+    """Tokens of at least ``CANDIDATE_LENGTH`` characters that no base span touches. Both stand in order of their starts, so one
+    walk over both tells."""
     runs = raw.translate(_TOKEN_MAP)
     if b"t" * CANDIDATE_LENGTH not in runs:
         return
+    spans, at, covered = [(s, e) for s, e, *_ in base], 0, 0
     for m in _TOKEN_RUN.finditer(runs):
         a, b = m.span()
-        token = raw[a:b]
-        mixed = any(48 <= c <= 57 for c in token) and any(c > 64 and chr(c).isalpha() for c in token)
-        if mixed and not any(a < e and s < b for s, e, *_ in base):
-            yield a, b, token
+        # The furthest end of the spans that start before the token ends.
+        while at < len(spans) and spans[at][0] < b:
+            covered = max(covered, spans[at][1])
+            at += 1
+        if covered <= a:
+            yield a, b, raw[a:b]
+
+
+def is_word(token: bytes) -> bool:
+    """Whether a token consists of letters alone."""
+    return token.isalpha() and (token.islower() or token[1:].islower() or token.isupper())
 
 
 def symbols(token: bytes) -> str:
@@ -186,8 +198,10 @@ def likelihood(table: dict, text: str) -> float:
 
 def learn(rows: list[tuple[str, str]], alpha: float = ALPHA) -> dict[str, tuple[dict, float]]:
     """Automaton table and threshold of each kind, from (kind, secret) pairs. Every fifth secret is held out for the
-    threshold; a kind with fewer than 20 secrets is not learned."""
+    threshold; a kind with fewer than 20 secrets is not learned. Pairs of the kind ``word`` are ordinary words: the
+    threshold lies above the likelihood of each of them."""
     models = {}
+    words = [symbols(s.encode()) for k, s in rows if k == WORD]
     for kind in KINDS:
         secrets = sorted({s for k, s in rows if k == kind}, key=lambda s: hashlib.md5(s.encode()).digest())
         if len(secrets) < 20:
@@ -195,7 +209,8 @@ def learn(rows: list[tuple[str, str]], alpha: float = ALPHA) -> dict[str, tuple[
         shapes = [symbols(s.encode()) for s in secrets]
         table = Automaton([s for i, s in enumerate(shapes) if i % HELD_OUT], alpha).table()
         scores = sorted(likelihood(table, s) for s in shapes[::HELD_OUT])
-        models[kind] = (table, max(scores[int(BELOW * len(scores))], 0.0))
+        ordinary = max((likelihood(table, s) for s in set(words)), default=-math.inf)
+        models[kind] = (table, max(scores[int(BELOW * len(scores))], 0.0, math.nextafter(ordinary, math.inf)))
     return models
 
 
@@ -204,7 +219,7 @@ def _code_points(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[in
     out, at, count = [], 0, 0
     marks = {}
     for b in sorted({p for s, e, _ in spans for p in (s, e)}):
-        count += len(raw[at:b].decode())
+        count += len(raw[at:b].decode("utf-8", "replace"))
         at, marks[b] = b, count
     for s, e, kind in spans:
         out.append((marks[s], marks[e], kind))
@@ -232,20 +247,48 @@ def scan_text(raw: bytes | None, models: dict) -> tuple[str, str]:
     return _joined(_code_points(raw, spans)), _joined(_code_points(raw, both))
 
 
+def _draw(kind: str, secret: bytes) -> int:
+    return xxhash.xxh64_intdigest(kind.encode() + b":" + secret)
+
+
 def labelled_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``sample`` credentials of each kind, those with the lowest hash among all that the base patterns find."""
+    """At most ``sample`` credentials of each kind, those with the lowest hash among all that the base patterns find, and as
+    many ordinary words. A task passes on its own lowest ones only, which hold the lowest of all."""
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[bytes, int]] = {k: {} for k in (*KINDS, WORD)}
+        limit = dict.fromkeys(held, 1 << 64)
+
+        def take(kind: str, secret: bytes) -> None:
+            if len(secret) > LONGEST_LEARNED or secret in held[kind]:
+                return
+            h = _draw(kind, secret)
+            if h < limit[kind]:
+                held[kind][secret] = h
+                if len(held[kind]) >= 2 * sample:
+                    held[kind] = dict(sorted(held[kind].items(), key=lambda x: x[1])[:sample])
+                    limit[kind] = max(held[kind].values())
 
-    def secrets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, t.decode()) for raw in pdf["text"] for _, _, k, t in base_matches(raw or b"") if len(t) <= LONGEST_LEARNED]
-            yield pd.DataFrame(rows, columns=["kind", "secret"])
+            for raw in pdf["text"]:
+                base = base_matches(raw or b"")
+                for _, _, kind, secret in base:
+                    take(kind, secret)
+                for _, _, token in candidates(raw or b"", base):
+                    if is_word(token):
+                        take(WORD, token)
+        rows = [(k, s.decode(), h) for k, found in held.items() for s, h in sorted(found.items(), key=lambda x: x[1])[:sample]]
+        out = pd.DataFrame(rows, columns=["kind", "secret", "draw"])
+        # Unsigned numbers as signed ones of the same order.
+        yield out.assign(draw=[int(h) - (1 << 63) for h in out["draw"]])
 
     text_batches(docs.sparkSession)
-    found = docs.select(F.col(text).cast("binary").alias("text")).mapInPandas(secrets, "kind string, secret string")
-    found = stored(found.distinct().withColumn("h", F.xxhash64("kind", "secret")), "credentials")
-    # Kinds are three; each keeps a bounded number of rows.
-    picked = [found.where(F.col("kind") == k).orderBy("h", "secret").limit(sample) for k in KINDS]
-    return [(r["kind"], r["secret"]) for r in picked[0].union(picked[1]).union(picked[2]).collect()]
+    found = docs.select(F.col(text).cast("binary").alias("text")).mapInPandas(lowest, "kind string, secret string, draw long")
+    found = stored(found.distinct(), "credentials")
+    # Kinds are four; each keeps a bounded number of rows.
+    picked = [found.where(F.col("kind") == k).orderBy("draw", "secret").limit(sample) for k in (*KINDS, WORD)]
+    rows = picked[0].union(picked[1]).union(picked[2]).union(picked[3])
+    return [(r["kind"], r["secret"]) for r in rows.collect()]
 
 
 def secret_spans(text: Column, models: dict) -> Column:
@@ -278,7 +321,7 @@ def redacted(raw: bytes | None, models: dict) -> str | None:
     """The text with each stretch covered by spans replaced by ``[secret]``."""
     if raw is None:
         return None
-    text, spans = raw.decode(), scan_text(raw, models)[1]
+    text, spans = raw.decode("utf-8", "replace"), scan_text(raw, models)[1]
     parts, at = [], 0
     for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
         if s >= at:
@@ -297,5 +340,6 @@ def redact(text: Column, models: dict) -> Column:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every stretch covered by a span replaced in ``text``."""
+    """``docs`` with every stretch covered by a span replaced in ``text``. Null texts stay null, texts without spans stay as they
+    are, repeated rows stay repeated, an empty table gives no rows."""
     return docs.withColumn(text, redact(F.col(text), learn(labelled_secrets(docs, text))))
