@@ -23,7 +23,11 @@ FIT_ROWS = 12_000
 FEATURES = 4096
 LEAST_ROWS = 8
 BEGINNINGS = (4, 5, 6)
+# Words remembered by one Python worker, none longer than so many bytes.
 REMEMBERED = 200_000
+LONGEST_REMEMBERED = 64
+# Labelled rows in one partition of the sample.
+ROWS_PER_PARTITION = 400
 TOXIC_FROM = 0.5
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -31,7 +35,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 def word_features(word: bytes) -> set[str]:
     """Features of one blank-separated word: each run of letters, and its beginnings followed by ``*``."""
     found = set()
-    for run in _RUN.findall(word.decode().lower()):
+    for run in _RUN.findall(word.decode("utf-8", "replace").lower()):
         found.add(run)
         found.update(run[:n] + "*" for n in BEGINNINGS if len(run) >= n)
     return found
@@ -57,7 +61,9 @@ class SeverityModel:
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                ids = known[word] = tuple(self.vocabulary[f] for f in word_features(word) if f in self.vocabulary)
+                ids = tuple(self.vocabulary[f] for f in word_features(word) if f in self.vocabulary)
+                if len(word) <= LONGEST_REMEMBERED:
+                    known[word] = ids
             if ids:
                 out.update(ids)
         return sorted(out)
@@ -172,10 +178,14 @@ def severity(text: Column, model: SeverityModel) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
     """``text`` and ``toxic`` of at most ``rows`` labelled documents, those whose key has the lowest hash. Repeated labels of
-    a key count as toxic if one is; null keys and labels are left out."""
+    a key count as toxic if one is; null keys and labels are left out. Of documents with the same key the text with the
+    lowest hash counts (ties: the smaller text), so the sample depends on nothing but the rows."""
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("toxic"))
     picked = stored(known.orderBy(F.xxhash64("_key"), "_key").limit(rows), "label-sample")
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(picked, "_key").select("text", "toxic").limit(4 * rows)
+    text = F.coalesce(F.col(text), F.lit(""))
+    matched = docs.select(F.col(key).alias("_key"), text.alias("text")).join(picked, "_key")
+    one = matched.groupBy("_key", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text")).alias("_first"))
+    return one.select("_key", "toxic", "_first.text").repartition(-(-rows // ROWS_PER_PARTITION), "_key").select("text", "toxic")
 
 
 def score_toxicity(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
