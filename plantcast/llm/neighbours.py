@@ -274,18 +274,23 @@ def nearest(rows: DataFrame, asked: Column, key: str = "vec_id", vector: str = "
     over ``key``) holds.
 
     Rows with equal keys or vectors are separate candidates; only the query's own row is none. Vectors that are null, zero
-    or hold null or non-finite numbers take no part, nor do those of another length than the most frequent one. Equal scores
+    or hold null or non-finite numbers take no part; candidates are the vectors of the query's own length. Equal scores
     rank by key. An empty table gives no rows.
 
     Equal vectors are one node of the graph. Its ``k + 1`` rows of smallest key stand for it, since a query may be one of them.
     """
     members, distinct = distinct_vectors(rows, asked, key, vector)
-    common = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = common["dim"] if common else 1
-    nodes = index_nodes(distinct, dim)
     asking = members.where("asked").select("row", "key", "mark")
-    queries = stored(nodes.join(asking.select("mark").distinct(), "mark").select(F.col("node").alias("q"), "unit"), "queries")
-    found = search_graph(nodes, dim, build_graph(nodes, dim), queries)
+    wanted = asking.select("mark").distinct()
+    # Vectors of different lengths have no cosine, so each length that is asked for has a graph of its own.
+    lengths = [r["dim"] for r in distinct.join(wanted, "mark").select("dim").distinct().orderBy("dim").collect()]
+    empty = rows.sparkSession.createDataFrame([], "q long, v long, s float"), rows.sparkSession.createDataFrame([], "q long")
+    found, queries = empty
+    for dim in lengths:
+        nodes = index_nodes(distinct, dim)
+        of_length = stored(nodes.join(wanted, "mark").select(F.col("node").alias("q"), "unit"), "queries")
+        found = found.union(search_graph(nodes, dim, build_graph(nodes, dim), of_length))
+        queries = queries.union(of_length.select("q"))
     # Scores of the search are in single precision, so more are measured again than are returned.
     near = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     short = found.withColumn("_place", F.row_number().over(near)).where(F.col("_place") <= 4 * k).select("q", "v")
