@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from plantcast.llm.shared import salted_lookup, stored, text_batches
 
 MAX_DRAWS = 30
+# Draw number of an address that is permuted within its network.
+PERMUTED = -1
 # From this draw on, words and local parts grow, so that short formats can't run out.
 LONGER_FROM = 6
 KINDS = ("email", "ip", "card", "phone", "given", "surname")
@@ -64,9 +66,11 @@ def _script(word: str) -> str:
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, without overlaps; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
+    covered = bytearray(len(text))
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= s or e <= start for s, e, _ in found):
+        if not covered.count(1, start, end):
+            covered[start:end] = b"\1" * (end - start)
             found.append((start, end, kind))
 
     if "@" in text:
@@ -88,6 +92,10 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
 def _is_given(word: str) -> bool:
     """Whether a capitalised word, or one in capitals, is a listed given name."""
     return word[0].isupper() and word.lower() in _GROUP_OF
@@ -113,9 +121,13 @@ def _find_names(text: str, add) -> None:
         elif title and first[0].isupper() and len(first) > 1 and (first.isupper() or not title.isupper()):
             add(*m.span("first"), "surname")
             surnames.add(first)
-    for name in surnames | {name.upper() for name in surnames}:
-        for m in re.finditer(rf"(?<!\w){name}(?!\w)", text):
-            add(*m.span(), "surname")
+    forms = surnames | {name.upper() for name in surnames}
+    if forms:
+        # Whole words of letters, so one walk finds all surnames however many there are.
+        for m in _WORD.finditer(text):
+            a, b = m.span()
+            if m[0] in forms and not (a and _is_word(text[a - 1])) and not (b < len(text) and _is_word(text[b])):
+                add(a, b, "surname")
 
 
 def canonical(mention: str, kind: str) -> str:
@@ -124,6 +136,8 @@ def canonical(mention: str, kind: str) -> str:
         return re.sub(r"\D", "", mention)[-10:]
     if kind == "card":
         return re.sub(r"\D", "", mention)
+    if kind == "ip":
+        return ".".join(str(int(part)) for part in mention.split("."))
     return mention.lower() if kind in ("email", "given", "surname") else mention
 
 
@@ -141,6 +155,37 @@ def _like(text: str, stream: Iterator[int]) -> str:
     )
 
 
+def permuted(secret: bytes, kind: str, number: int, bits: int) -> int:
+    """Keyed permutation of the numbers of an even count of bits: four rounds that swap two halves."""
+    half = bits // 2
+    mask = (1 << half) - 1
+    left, right = number >> half, number & mask
+    for turn in range(4):
+        mixed = hmac.new(secret, f"{kind}\0{bits}\0{turn}\0{right}".encode(), hashlib.sha256).digest()
+        left, right = right, left ^ int.from_bytes(mixed[:4], "big") & mask
+    return left << half | right
+
+
+def _kept_octets(value: str) -> int:
+    """Octets of an address that tell its kind of network."""
+    return 2 if value.startswith("192.168.") else 1 if value.startswith(("10.", "127.")) else 0
+
+
+def _address(secret: bytes, value: str) -> str:
+    """Another address of the same kind of network. The rest of the address is permuted, again as long as it falls into
+    another kind, so no two addresses meet however many there are."""
+    kept = _kept_octets(value)
+    prefix, bits, new = value.split(".")[:kept], 32 - 8 * kept, value
+    while True:
+        tail = 0
+        for part in new.split(".")[kept:]:
+            tail = tail << 8 | int(part)
+        tail = permuted(secret, "ip", tail, bits)
+        new = ".".join([*prefix, *(str(tail >> shift & 255) for shift in range(bits - 8, -1, -8))])
+        if _kept_octets(new) == kept:
+            return new
+
+
 def surrogate(secret: bytes, kind: str, value: str, draw: int = 0) -> str:
     """Canonical form of the replacement of an entity."""
     stream = _stream(secret, kind, value, draw)
@@ -150,7 +195,9 @@ def surrogate(secret: bytes, kind: str, value: str, draw: int = 0) -> str:
         longer = "".join(chr(97 + next(stream) % 26) for _ in range(max(0, draw - LONGER_FROM)))
         return _like(local, stream) + longer + "@" + ".".join([_like(".".join(labels), _stream(secret, "domain", domain, 0)), top])
     if kind == "ip":
-        kept = 2 if value.startswith("192.168.") else 1 if value.startswith(("10.", "127.")) else 0
+        if draw == PERMUTED:
+            return _address(secret, value)
+        kept = _kept_octets(value)
         return ".".join(p if i < kept else str(1 + next(stream) % 254) for i, p in enumerate(value.split(".")))
     if kind == "card":
         body = value[0] + "".join(str(next(stream) % 10) for _ in value[1:-1])
@@ -219,7 +266,10 @@ def _drawn(secret: bytes):
 
 def drawn_again(entities: DataFrame, secret: bytes) -> DataFrame:
     """``kind``, ``value``, ``draw`` of the entities whose first surrogate is taken. Of those that share one, the smallest value
-    keeps it; a surrogate that is itself an entity of the table is taken by that entity. Given names never meet."""
+    keeps it; a surrogate that is itself an entity of the table is taken by that entity. Given names never meet.
+
+    A network with so many addresses that some still meet after ``MAX_DRAWS`` draws takes a permutation of its addresses
+    instead: ``draw`` is ``PERMUTED`` for all of them, and distinct ones stay distinct, though one may get another's address."""
     spark = entities.sparkSession
     real = stored(entities.where(F.col("kind") != "given").select("kind", "value"), "entities")
     open_, settled, schema = real.withColumn("draw", F.lit(0)), None, "kind string, value string, draw int, new string"
@@ -237,8 +287,15 @@ def drawn_again(entities: DataFrame, secret: bytes) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        raise RuntimeError(f"surrogates still meet after {MAX_DRAWS} draws")
-    return settled.where(F.col("draw") > 0).select("kind", "value", "draw")
+        if not open_.where("kind <> 'ip'").isEmpty():
+            raise RuntimeError(f"surrogates still meet after {MAX_DRAWS} draws")
+        every = settled.select("kind", "value", "draw").union(open_)
+        network = F.regexp_extract("value", r"^(192\.168\.|10\.|127\.)", 1)
+        # Four kinds of network at most.
+        full = [r[0] for r in open_.select(network).distinct().collect()]
+        used_up = (F.col("kind") == "ip") & network.isin(full)
+        settled = every.withColumn("draw", F.when(used_up, F.lit(PERMUTED)).otherwise(F.col("draw")))
+    return settled.where(F.col("draw") != 0).select("kind", "value", "draw")
 
 
 def replace_entities(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
