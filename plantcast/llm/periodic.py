@@ -42,7 +42,7 @@ def split_by_frequency(words: np.ndarray, depth: int = DEPTH) -> list[tuple[int,
         cuts = np.concatenate(([-1], rare, [end - start]))
         wide = np.flatnonzero(np.diff(cuts) > LEAST)
         todo += [(start + a + 1, start + b, level + 1) for a, b in zip(cuts[wide].tolist(), cuts[wide + 1].tolist())]
-    return stable
+    return sorted(stable)
 
 
 def _pair_classes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
