@@ -190,3 +190,32 @@ def test_null_keys_labels_scores_and_dates(spark, chunk):
         history.append(s)
         known = [x for x in history[-4:] if x is not None]
         assert means[key] == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+def test_scrap_features_read_the_lots_from_one_written_table(tables):
+    from plantcast.plans import scrap
+
+    plan = scrap.enriched_from(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "chunk" in plan.lower()
+
+
+def test_calendar_lags_go_by_weeks_not_by_rows(spark):
+    from plantcast.operators.ordered import calendar_lags, calendar_rolling
+
+    rows = [(1, "A", "x", 1.0), (2, "A", "x", 2.0), (4, "A", "x", 4.0), (2, "A", "y", 9.0), (None, "A", "x", 7.0), (3, None, "x", 3.0)]
+    df = spark.createDataFrame(rows, "week int, m string, s string, v double")
+    out = calendar_rolling(calendar_lags(df, ["m", "s"], "week", {"lag1": ("v", 1), "lag2": ("v", 2)}), ["m", "s"], "week", 3, {"mean": "v"})
+    got = {(r.week, r.m, r.s): (r.lag1, r.lag2, r["mean"]) for r in out.collect()}
+    assert got == {
+        (1, "A", "x"): (None, None, 1.0), (2, "A", "x"): (1.0, None, 1.5), (4, "A", "x"): (None, 2.0, 3.0), (2, "A", "y"): (None, None, 9.0),
+        (None, "A", "x"): (None, None, None), (3, None, "x"): (None, None, 3.0),
+    }
+
+
+def test_merged_sketches_equal_the_whole(spark):
+    from plantcast.operators.aggregates import distinct_sketches, merged_distinct
+
+    df = spark.range(20_000).selectExpr("id % 30 as week", "id % 7000 as v", "cast(null as string) as none")
+    weekly = merged_distinct(distinct_sketches(df, ["week"], ["v", "none"]), ["v", "none"]).first()
+    whole = merged_distinct(distinct_sketches(df, [], ["v", "none"]), ["v", "none"]).first()
+    assert abs(weekly.v - 7000) < 7000 * 0.033 and abs(weekly.v - whole.v) < 7000 * 0.01 and weekly.none == 0
