@@ -34,7 +34,8 @@ SPAN_BYTES = 1 << 20
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Texts of characters whose classes no version of Unicode moves, in words of ordinary length, go through the faster encoder.
 _UNUSUAL = re.compile("[^\x00-\u024f]")
-_LONG_WORD = re.compile(r"\S{2000}|\s{2000}")
+LONG_WORD = 2000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_WORD}}}")
 
 
 class ByteTokens:
@@ -55,6 +56,8 @@ class ByteTokens:
         for token, i in vocabulary.items():
             if all(c in letter for c in token):
                 self.bytes_of[i] = bytes(letter[c] for c in token)
+        # With a token for every byte and no normaliser nothing is lost.
+        self.lossless = self.library.normalizer is None and len({b for b in self.bytes_of.values() if len(b) == 1}) == 256
         self.fast = self._fast(vocabulary, model["merges"])
 
     def _fast(self, vocabulary: dict[str, int], merges: list) -> tiktoken.Encoding | None:
@@ -68,7 +71,9 @@ class ByteTokens:
 
     @staticmethod
     def _ordinary(text: str) -> bool:
-        return (text.isascii() or not _UNUSUAL.search(text)) and not _LONG_WORD.search(text)
+        if not text.isascii() and _UNUSUAL.search(text):
+            return False
+        return len(text) < LONG_WORD or max(map(len, text.split()), default=0) < LONG_WORD and not _LONG_BLANK.search(text)
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and self._ordinary(text):
@@ -103,7 +108,8 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
         a, b = np.searchsorted(ends_a, (at, until), "right"), np.searchsorted(ends_b, (at, until), "right")
         index_a = dict(zip(ends_a[a[0] : a[1]].tolist(), range(a[0] + 1, a[1] + 1)))
         index_b = dict(zip(ends_b[b[0] : b[1]].tolist(), range(b[0] + 1, b[1] + 1)))
-        shared = sorted(index_a.keys() & index_b.keys())
+        # Keys stand in ascending order, and so do those that the other dictionary holds too.
+        shared = [e for e in index_a if e in index_b]
         cut_a.append(np.fromiter(map(index_a.__getitem__, shared), np.int64, len(shared)))
         cut_b.append(np.fromiter(map(index_b.__getitem__, shared), np.int64, len(shared)))
         at = until
@@ -137,12 +143,15 @@ class TokenBytes:
         self.start[list(bytes_of)] = np.cumsum(self.length[list(bytes_of)]) - self.length[list(bytes_of)]
         self.flat = np.frombuffer(b"".join(bytes_of.values()), np.uint8)
 
-    def ends(self, ids: np.ndarray, whole: np.ndarray) -> np.ndarray | None:
-        """Ends of the tokens in bytes, or None where the tokens joined are not ``whole``."""
+    def ends(self, ids: np.ndarray, whole: np.ndarray, lossless: bool = False) -> np.ndarray | None:
+        """Ends of the tokens in bytes, or None where the tokens joined are not ``whole``. The tokens of a lossless tokenizer
+        are so if they have the same length."""
         length = self.length[ids]
         ends = np.cumsum(length)
         if not len(ids) or ends[-1] != len(whole) or length.min() < 0:
             return None
+        if lossless:
+            return ends
         place = np.repeat(self.start[ids] - ends + length, length) + np.arange(len(whole))
         return ends if np.array_equal(self.flat[place], whole) else None
 
@@ -157,7 +166,7 @@ class Aligner:
         if not text:
             return None
         a, b, whole = self.a.ids(text), self.b.ids(text), np.frombuffer((" " + text).encode(), np.uint8)
-        ends_a, ends_b = self.bytes_a.ends(a, whole), self.bytes_b.ends(b, whole)
+        ends_a, ends_b = self.bytes_a.ends(a, whole, self.a.lossless), self.bytes_b.ends(b, whole)
         if ends_a is None or ends_b is None:
             return None
         cut_a, cut_b = common_ends(ends_a, ends_b)
