@@ -30,6 +30,8 @@ from plantcast.sources.schemas import KEYS
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 # Settings that replace published ones, by kind of model ("boosted", "forest"); tests make models small here.
 OVERRIDES: dict[str, dict] = {}
+# Part of every model's key; raised when training changes without a change of settings.
+TRAINING_VERSION = 1
 SEARCH_GRID = {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}
 SEARCH_FOLDS = 3
 
@@ -37,7 +39,7 @@ SEARCH_FOLDS = 3
 def fitted(t, name: str, settings: dict, fit: Callable[[str], None]) -> str:
     """Folder of a model in the store, fitted if these tables and settings have none yet."""
     training.checkpoint_root(t.spark)
-    key = content_key({n: t.raw(n) for n in SOURCES}, {**settings, "overrides": OVERRIDES})
+    key = content_key({n: t.raw(n) for n in SOURCES}, {**settings, "overrides": OVERRIDES, "version": TRAINING_VERSION})
     return ModelStore(t.spark).folder(name, key, fit)
 
 
