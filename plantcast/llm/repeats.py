@@ -5,9 +5,10 @@ their first bytes, sorts pairs of ranks at growing offsets, ranks again, and dro
 
 * Positions are chosen by content, so that equal strings choose alike: each window of ``length`` bytes is led by the
   position with the smallest hash in its first half. A lead stands for a stretch of neighbouring windows.
-* Leads start with the rank of their first eighth of ``length``. Pairs of ranks give the rank of the first quarter and,
-  at twice the offset, of the first half. Each ranking is one distributed sort with the position as the last key, so the
-  rows of a frequent string are spread over many partitions; what sorts next to no equal is dropped.
+* Leads start with the rank of their first eighth of ``length``. Pairs of this rank and that of the bytes at the offset give
+  the rank of the first quarter and, at twice the offset, of the first half. Each ranking is one distributed sort with the
+  position as the last key, so the rows of a frequent string are spread over many partitions; what sorts next to no equal
+  is dropped. Positions between leads are not sorted: the rank at an offset is the digest of the bytes there.
 * A stretch whose whole content occurs again consists of repeated windows. In the other stretches leads are chosen again
   from a twentieth of the length and compared by all bytes behind them, then window by window up to the threshold.
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ LENGTH = 400
 GRAM = 8
 # Windows looked at together.
 CHUNK = 1 << 18
+# Sorted rows numbered together.
+SORTED_ROWS = 1 << 16
 _NUMBERS = {"row": "long", "lo": "long", "hi": "long"}
 
 
@@ -138,20 +142,19 @@ class Search:
 
         return self._each(batches, emit)
 
-    def first_pairs(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ranks of neighbouring parts, at the lead (``half`` 0) and two parts on (``half`` 1), and the content of the stretch."""
+    def next_ranks(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Ranks at the lead (a) and at the offsets of one part (b) and two parts (e, of double length), and the content of
+        the stretch (c, d)."""
 
         def emit(batch: _Batch) -> pd.DataFrame:
             at, first, last, row, begin = batch.leads(self.width, GRAM)
-            whole, halves = _digests(batch.raw, first, last + self.length), []
-            for half in (0, 1):
-                places = at + 2 * half * self.part
-                left, right = (_digests(batch.raw, places + j * self.part, places + (j + 1) * self.part)[:, 0] for j in (0, 1))
-                halves.append(pd.DataFrame({
-                    "a": left, "b": right, "row": row, "lo": first - begin, "hi": last - begin, "half": half,
-                    "c": whole[:, 0] * (1 - half), "d": whole[:, 1] * (1 - half),
-                }))
-            return pd.concat(halves)
+            whole = _digests(batch.raw, first, last + self.length)
+            a, b, e = (
+                _digests(batch.raw, at + i * self.part, at + j * self.part)[:, 0] for i, j in ((0, 1), (1, 2), (2, 4))
+            )
+            return pd.DataFrame({
+                "a": a, "b": b, "e": e, "row": row, "lo": first - begin, "hi": last - begin, "c": whole[:, 0], "d": whole[:, 1],
+            })
 
         return self._each(batches, emit)
 
@@ -172,70 +175,98 @@ class Search:
         return fine
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches joined to tables of at least ``SORTED_ROWS`` rows, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= SORTED_ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _number(keys: list[str], kept: list[str], unique: bool):
     """Numbers the classes of equal keys of sorted rows. The first and the last class of a partition may go on in the
     next one, so each gets a row of its own with its keys and its size (``size`` is 0 in all others)."""
+    others = [k for k in keys if k not in kept]
 
-    zeros = {k: 0 for k in keys if k not in kept}
+    def frame(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        names = [*kept, *others, "rank", "many", "leader", "size"]
+        return pa.RecordBatch.from_arrays([pa.array(columns[n]) for n in names], names)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, held_new, last = TaskContext.get().partitionId() << 40, None, True, 0
         first_keys, first_size, last_size = None, 0, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            values = rows[keys].to_numpy()
+        names = list(dict.fromkeys([*kept, *keys]))
+        for table in _tables(batches):
+            rows = {n: table[n].to_numpy() for n in names}
             if held is None:
-                first_keys = values[0].tolist()
-            new = np.concatenate(([held_new], (values[1:] != values[:-1]).any(axis=1)))
-            rank = last + np.concatenate(([0], np.cumsum(new[1:])))
-            # The last row waits for the next batch, which tells whether it is alone.
+                first_keys = {k: rows[k][:1] for k in keys}
+            else:
+                rows = {n: np.concatenate((held[n], rows[n])) for n in names}
+            differ = np.zeros(len(rows["row"]) - 1, bool)
+            for k in keys:
+                differ |= rows[k][1:] != rows[k][:-1]
+            new = np.concatenate(([held_new], differ))
+            rank = last + np.concatenate(([0], np.cumsum(differ)))
+            # The last row waits for the next table, which tells whether it is alone.
             first_size += int((rank[:-1] == 0).sum())
             last_size = int((rank[:-1] == rank[-1]).sum()) + (last_size if rank[-1] == last else 0)
-            alone = new[:-1] & new[1:]
-            out = rows.iloc[:-1][kept].assign(**zeros, rank=base + rank[:-1], many=~alone, leader=new[:-1], size=0)
-            held, held_new, last = rows.iloc[-1:], bool(new[-1]), int(rank[-1])
-            yield out if unique else out[~alone | (rank[:-1] == 0)]
+            alone = new[:-1] & differ
+            keep = np.ones(len(alone), bool) if unique else ~alone | (rank[:-1] == 0)
+            n, zeros = int(keep.sum()), np.zeros(int(keep.sum()), np.int64)
+            held, held_new, last = {n: rows[n][-1:] for n in names}, bool(new[-1]), int(rank[-1])
+            if n:
+                out = {c: rows[c][:-1][keep] for c in kept} | {k: zeros for k in others}
+                yield frame(out | {"rank": base + rank[:-1][keep], "many": ~alone[keep], "leader": new[:-1][keep], "size": zeros})
         if held is None:
             return
-        yield held[kept].assign(**zeros, rank=base + last, many=not held_new, leader=held_new, size=0)
+        one = np.zeros(1, np.int64)
+        blank = {c: one for c in [*kept, *others]}
+        new = np.array([held_new])
+        yield frame(blank | {c: held[c] for c in kept} | {"rank": one + base + last, "many": ~new, "leader": new, "size": one})
         ends = [(first_keys, base, first_size + (last == 0))]
         if last:
-            ends.append((held[keys].to_numpy()[0].tolist(), base + last, last_size + 1))
-        table = pd.DataFrame([dict(zip(keys, k)) | {"rank": r, "size": n} for k, r, n in ends])
-        yield table.reindex(columns=[*dict.fromkeys([*kept, *keys]), "rank", "size"], fill_value=0).assign(many=False, leader=False)
+            ends.append(({k: held[k] for k in keys}, base + last, last_size + 1))
+        no = np.array([False])
+        for values, rank, size in ends:
+            yield frame(blank | values | {"rank": one + rank, "many": no, "leader": no, "size": one + size})
 
     return number
 
 
-def rerank(rows: DataFrame, keys: list[str], kept: dict[str, str], unique: bool = False) -> DataFrame:
-    """Sorts the rows by ``keys`` (longs) and position and gives rows of equal keys the same ``rank``, and others another.
+def rerank(rows: DataFrame, keys: list[str], kept: dict[str, str], unique: bool = False, rank: str = "rank") -> DataFrame:
+    """Sorts the rows by ``keys`` (longs) and position and gives rows of equal keys the same number, and others another, in
+    a column named by ``rank``.
 
     Rows whose keys no other row has are dropped, or kept with ``many`` false if ``unique``. One row of each class (or a few,
     where a class spans partitions) is its ``leader``. The numbers are stored.
     """
-    others = {k: "long" for k in keys if k not in kept}
-    schema = {**kept, **others, "rank": "long", "many": "boolean", "leader": "boolean", "size": "long"}
-    order = [*keys, "row", "lo"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ordered.mapInPandas(_number(keys, list(kept), unique), ", ".join(f"{c} {t}" for c, t in schema.items()))
+    named = {f"key_{i}": F.col(k) for i, k in enumerate(keys)}
+    schema = {**kept, **{k: "long" for k in named}, "rank": "long", "many": "boolean", "leader": "boolean", "size": "long"}
+    order = [*named, "row", "lo"]
+    ordered = rows.select(*kept, *[c.alias(k) for k, c in named.items()]).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ordered.mapInArrow(_number(list(named), list(kept), unique), ", ".join(f"{c} {t}" for c, t in schema.items()))
     numbered = stored(numbered, "ranks", compression="zstd")
     # At most two rows per partition: the classes at its ends.
-    ends = numbered.where("size > 0").groupBy(*keys).agg(F.min("rank").alias("to"), F.sum("size").alias("total"), F.collect_list("rank").alias("from"))
+    ends = numbered.where("size > 0").groupBy(*named).agg(F.min("rank").alias("to"), F.sum("size").alias("total"), F.collect_list("rank").alias("from"))
     moved = ends.select(F.explode("from").alias("rank"), "to", "total")
     whole = numbered.where("size = 0").join(F.broadcast(moved), "rank", "left")
     many = F.coalesce(F.col("total") > 1, "many")
-    out = whole.select(*kept, F.coalesce("to", "rank").alias("rank"), many.alias("many"), "leader")
+    out = whole.select(*kept, F.coalesce("to", "rank").alias(rank), many.alias("many"), "leader")
     return out if unique else out.where("many")
 
 
 def _texts_with(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Texts that have stretches, beside them. The row numbers alone choose the texts first, so that a join of the larger
-    stretches moves no other text."""
+    """Texts that have stretches, beside them. The row numbers alone choose the texts first, so that no other text moves; then
+    texts and stretches are sorted by row number at every size."""
     per_text = stored(stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("stretches")), "stretches")
     rows = stored(per_text.select("row"), "rows")
-    return texts.join(rows, "row", "left_semi").join(per_text, "row")
+    return texts.join(rows, "row", "left_semi").join(per_text.hint("merge"), "row")
 
 
 def _schema(columns: str) -> str:
@@ -248,23 +279,21 @@ def repeated_windows(texts: DataFrame, copies: DataFrame, length: int = LENGTH)
     search, place, texts = Search(length), dict(_NUMBERS), texts.select("row", "text")
     first = texts.join(copies, "row", "left_anti").mapInPandas(search.first_ranks, _schema("a row lo hi"))
     found = rerank(first, ["a"], place)
-    pairs = _texts_with(texts, found).mapInPandas(search.first_pairs, _schema("a b row lo hi half c d"))
     content = {"c": "long", "d": "long"}
-    ranked = rerank(pairs, ["a", "b"], place | {"half": "long"} | content)
-    near = ranked.where("half = 0").withColumnRenamed("rank", "a").drop("half", "many", "leader")
-    far = ranked.where("half = 1").select("row", "lo", F.col("rank").alias("b"))
-    done, left = _judged(rerank(near.join(far, ["row", "lo"]), ["a", "b"], place | content), place)
+    pairs = _texts_with(texts, found).mapInPandas(search.next_ranks, _schema("a b e row lo hi c d"))
+    quarter = rerank(pairs, ["a", "b"], place | {"e": "long"} | content).drop("many", "leader")
+    done, left = _judged(rerank(quarter, ["rank", "e"], place | content, rank="half"), place, "half")
     closer = _texts_with(texts, left).mapInPandas(search.fine_ranks(search.fine), _schema("a b row lo hi c d"))
-    closer_done, left = _judged(rerank(closer, ["a", "b"], place | content), place)
+    closer_done, left = _judged(rerank(closer, ["a", "b"], place | content), place, "rank")
     single = _texts_with(texts, left).mapInPandas(search.fine_ranks(1), _schema("a b row lo hi c d"))
     equal = rerank(single, ["c", "d"], place).select(*place)
     return done.unionByName(closer_done).unionByName(equal)
 
 
-def _judged(ranked: DataFrame, place: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def _judged(ranked: DataFrame, place: dict[str, str], rank: str) -> tuple[DataFrame, DataFrame]:
     """Stretches whose whole content (c, d) occurs again, and those to look at closer: the others, with one stretch of each
     content that may hold windows of the others, since it has the same rank."""
-    named = ranked.withColumnRenamed("rank", "prefix").drop("many", "leader")
+    named = ranked.withColumnRenamed(rank, "prefix").drop("many", "leader")
     judged = rerank(named, ["c", "d"], place | {"prefix": "long"}, unique=True)
     apart = judged.where("not many")
     beside = judged.where("many and leader").join(apart.select("prefix").distinct(), "prefix", "left_semi")
