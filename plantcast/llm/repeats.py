@@ -262,23 +262,27 @@ def rerank(rows: DataFrame, keys: list[str], kept: dict[str, str], unique: bool
 
 
 def _texts_with(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Texts that have stretches, beside them. The row numbers alone choose the texts first, so that no other text moves; then
-    texts and stretches are sorted by row number at every size."""
-    per_text = stored(stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("stretches")), "stretches")
-    rows = stored(per_text.select("row"), "rows")
-    return texts.join(rows, "row", "left_semi").join(per_text.hint("merge"), "row")
+    """Texts that have stretches, beside them. Both are sorted by row number at every size."""
+    per_text = stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
+    return texts.join(stored(per_text, "stretches").hint("merge"), "row")
 
 
 def _schema(columns: str) -> str:
     return ", ".join(f"{c} long" for c in columns.split())
 
 
-def repeated_windows(texts: DataFrame, copies: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Stretches ``lo``..``hi`` (inclusive) of starts of windows that occur elsewhere, by ``row`` number of the texts.
-    ``copies`` are the rows that repeat a whole earlier text; they are left out."""
-    search, place, texts = Search(length), dict(_NUMBERS), texts.select("row", "text")
-    first = texts.join(copies, "row", "left_anti").mapInPandas(search.first_ranks, _schema("a row lo hi"))
+def repeated_windows(table: DataFrame, copies: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Stretches ``lo``..``hi`` (inclusive) of starts of windows that occur elsewhere, by ``row`` number, and the rows of
+    ``table`` that may have some. ``copies`` are the rows that repeat a whole earlier text; they are left out.
+
+    Texts whose first ranks are all unique are done after the first round. The others are stored once, so that the later
+    rounds sort only these.
+    """
+    search, place = Search(length), dict(_NUMBERS)
+    first = table.select("row", "text").join(copies, "row", "left_anti").mapInPandas(search.first_ranks, _schema("a row lo hi"))
     found = rerank(first, ["a"], place)
+    near = stored(table.join(found.select("row").distinct().hint("merge"), "row", "left_semi"), "near-texts", compression="zstd")
+    texts = near.select("row", "text")
     content = {"c": "long", "d": "long"}
     pairs = _texts_with(texts, found).mapInPandas(search.next_ranks, _schema("a b e row lo hi c d"))
     quarter = rerank(pairs, ["a", "b"], place | {"e": "long"} | content).drop("many", "leader")
@@ -287,7 +291,7 @@ def repeated_windows(texts: DataFrame, copies: DataFrame, length: int = LENGTH)
     closer_done, left = _judged(rerank(closer, ["a", "b"], place | content), place, "rank")
     single = _texts_with(texts, left).mapInPandas(search.fine_ranks(1), _schema("a b row lo hi c d"))
     equal = rerank(single, ["c", "d"], place).select(*place)
-    return done.unionByName(closer_done).unionByName(equal)
+    return done.unionByName(closer_done).unionByName(equal), near
 
 
 def _judged(ranked: DataFrame, place: dict[str, str], rank: str) -> tuple[DataFrame, DataFrame]:
@@ -343,10 +347,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     copied = salted_lookup(long.select("row", "digest"), groups, "digest", F.col("row")).where("first is not null")
     copied = stored(copied.select("row", (F.col("row") == F.col("first")).alias("is_first")), "copies")
     later = copied.where("not is_first").select("row")
-    windows = stored(repeated_windows(table, later, length).join(copied, "row", "left_anti"), "windows")
+    windows, near = repeated_windows(table, later, length)
+    windows = stored(windows.join(copied, "row", "left_anti"), "windows")
     span = "array<struct<start: long, end: long>>"
     cut = F.pandas_udf(_cut(length), f"removed {span}, kept binary")
-    touched = _texts_with(table, windows).withColumn("cut", cut("text", "stretches")).select(key, "n_bytes", "cut.removed", "cut.kept")
+    touched = _texts_with(near, windows).withColumn("cut", cut("text", "stretches")).select(key, "n_bytes", "cut.removed", "cut.kept")
     whole_span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).cast(span)
     whole = table.join(copied, "row", "left_semi").select(key, "n_bytes", whole_span.alias("removed"), F.lit(b"").alias("kept"))
     found = stored(windows.select("row").unionByName(copied.select("row")).distinct(), "rows")
