@@ -51,8 +51,12 @@ def stratified_split(
     hashed = _hashed(df, key, seed)
     k = F.col("total") - F.ceil(F.lit(test_share) * F.col("total"))
     found = kth_row(hashed, ["_h", key], k, (label,), chunks).withColumnRenamed("at", "_at")
-    joined = null_safe_join(hashed, found, [label], "left")
-    return joined.withColumn(out, _before_or_at(F.col("_at"), "_h", key)).drop("_h", "_at")
+    # Joined on the class alone, all rows of a class would meet in one task; each threshold is repeated for every part of it.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = hashed.withColumn("_part", F.coalesce(F.pmod("_h", F.lit(parts)), F.lit(0)).cast("int"))
+    repeated = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    joined = null_safe_join(placed, repeated, [label, "_part"], "left")
+    return joined.withColumn(out, _before_or_at(F.col("_at"), "_h", key)).drop("_h", "_part", "_at")
 
 
 def hash_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:

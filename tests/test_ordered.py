@@ -192,6 +192,21 @@ def test_null_keys_labels_scores_and_dates(spark, chunk):
         assert means[key] == (pytest.approx(sum(known) / len(known)) if known else None)
 
 
+def test_stratified_split_deals_a_class_over_many_tasks(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    df = spark.range(4000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 2).alias("label"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        parts = split.stratified_split(df, "key", "label").select("label", "is_train", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sum(r.p == p for r in parts) for p in {r.p for r in parts}) < 1000
+    assert all(sum(r.is_train for r in parts if r.label == label) == 1600 for label in (0, 1))
+
+
 def test_scrap_features_read_the_lots_from_one_written_table(tables):
     from plantcast.plans import scrap
 
