@@ -32,6 +32,13 @@ def supplier_id(key: Column) -> Column:
     return F.concat(F.lit("SUP-"), key.cast("string"))
 
 
+def with_planning_keys(lines: DataFrame) -> DataFrame:
+    """Order lines with the planning keys. Grouping by these very columns leaves a table partitioned the
+    way the joins need it."""
+    week = F.weekofyear("l_shipdate")
+    return lines.withColumns({"week_no": week, "material_no": material_id(F.col("l_partkey")), "scenario": scenario_of(week)})
+
+
 class PlanningTables:
     """Lazy planning tables over one folder of benchmark files."""
 
@@ -43,12 +50,7 @@ class PlanningTables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _week_lines(self) -> DataFrame:
-        """Order lines with the planning keys. Grouping by these very columns leaves a table partitioned the
-        way the joins need it."""
-        week = F.weekofyear("l_shipdate")
-        return self.raw("lineitem").withColumns(
-            {"week_no": week, "material_no": material_id(F.col("l_partkey")), "scenario": scenario_of(week)}
-        )
+        return with_planning_keys(self.raw("lineitem"))
 
     def demand_forecast(self) -> DataFrame:
         week, part = F.col("week_no"), F.col("part")
@@ -96,7 +98,8 @@ class PlanningTables:
         )
 
     def _order_lines(self) -> DataFrame:
-        return self._week_lines().join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        """Lines with their order. The keys are made after the join, whose shuffle then carries numbers instead of names."""
+        return with_planning_keys(self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")))
 
     def customer_orders(self) -> DataFrame:
         qty = F.col("l_quantity").cast("int")

@@ -234,3 +234,10 @@ def test_merged_sketches_equal_the_whole(spark):
     weekly = merged_distinct(distinct_sketches(df, ["week"], ["v", "none"]), ["v", "none"]).first()
     whole = merged_distinct(distinct_sketches(df, [], ["v", "none"]), ["v", "none"]).first()
     assert abs(weekly.v - 7000) < 7000 * 0.033 and abs(weekly.v - whole.v) < 7000 * 0.01 and weekly.none == 0
+
+
+def test_planning_keys_are_made_after_the_order_join(tables):
+    for frame in (tables.customer_orders(), tables.production_orders()):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Join "):].split("\n", 1)[1]
+        assert "material_no" not in below and "scenario" not in below
