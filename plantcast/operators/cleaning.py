@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Imputer
 from pyspark.sql import DataFrame
@@ -12,8 +14,11 @@ from plantcast.operators.ordered import quantiles
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows without null or NaN in the given columns."""
-    return df.na.drop(subset=list(columns))
+    """Rows without null or NaN in the given columns. Said per column, so that a left join whose columns must be known
+    becomes an inner one and rows leave before later joins."""
+    kinds = dict(df.dtypes)
+    known = [F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("float", "double") else F.col(c).isNotNull() for c in columns]
+    return df.where(reduce(and_, known)) if known else df
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -236,6 +236,17 @@ def test_merged_sketches_equal_the_whole(spark):
     assert abs(weekly.v - 7000) < 7000 * 0.033 and abs(weekly.v - whole.v) < 7000 * 0.01 and weekly.none == 0
 
 
+def test_complete_cases_drop_null_and_nan_before_later_joins(spark):
+    from plantcast.operators.cleaning import complete_cases
+
+    left = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k int")
+    right = spark.createDataFrame([(1, 1.0, "a"), (2, float("nan"), "b"), (3, 3.0, None)], "k int, v double, s string")
+    joined = complete_cases(left.join(right, "k", "left"), ["v", "s"])
+    assert "LeftOuter" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in joined.collect()] == [(1, 1.0, "a")]
+    assert complete_cases(left, []).count() == 4
+
+
 def test_planning_keys_are_made_after_the_order_join(tables):
     for frame in (tables.customer_orders(), tables.production_orders()):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
