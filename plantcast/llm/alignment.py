@@ -35,6 +35,16 @@ _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 # Texts of characters whose classes no version of Unicode moves, in words of ordinary length, go through the faster encoder.
 _UNUSUAL = re.compile("[^\x00-\u024f]")
 LONG_WORD = 2000
+# Blanks between two characters that no tokenizer takes for white space.
+_SINGLE_BLANK = re.compile("(?<=[^\\s\u180e\u2581]) (?=[^\\s\u180e\u2581])")
+_PLAIN_ENDS = re.compile("(?s)(?=[^\\s\u180e]).*[^\\s\u180e]\\Z")
+_PROBE = "A b's  don't\tÉtÉ... x1 Ünï!?\x0b<|endoftext|>y \n\nZ <unk> 'll z ** 12,3 日本 </s> end\n of\u00a0it 'tis  "
+# What one worker remembers: at most twice so many words, none of more characters than ``LONGEST``.
+REMEMBERED = 100_000
+LONGEST = 64
+# Texts whose words are looked up together.
+TEXTS_TOGETHER = 200
+_FIELD = 40
 _LONG_BLANK = re.compile(rf"\s{{{LONG_WORD}}}")
 
 
@@ -90,6 +100,9 @@ class PieceTokens:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes_of[i] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+        # No piece but those of blanks alone goes on after a blank, so none lies in two words.
+        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        self.apart = not any("▁" in p[1:] and p.strip("▁") for p in pieces)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text), np.int64)
@@ -160,9 +173,16 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = _tokenizers(path_a, path_b)
         self.bytes_a, self.bytes_b = TokenBytes(self.a.bytes_of), TokenBytes(self.b.bytes_of)
+        words = _SINGLE_BLANK.split(_PROBE)
+        self.by_word = self.a.lossless and self.b.apart and all(
+            np.array_equal(t.ids(_PROBE), np.concatenate([t.ids(w) for w in words])) for t in (self.a, self.b)
+        )
+        self._known: dict[str, tuple | None] = {}
+        self._older: dict[str, tuple | None] = {}
 
     def align(self, text: str | None):
-        """Ids and cuts of both sides and the pair codes of the links, or None where the tokens do not make up the text."""
+        """Ids and cuts of both sides, the pair codes of the links and their tokens of the first side, or None where the tokens do
+        not make up the text."""
         if not text:
             return None
         a, b, whole = self.a.ids(text), self.b.ids(text), np.frombuffer((" " + text).encode(), np.uint8)
@@ -171,7 +191,83 @@ class Aligner:
             return None
         cut_a, cut_b = common_ends(ends_a, ends_b)
         links_a, links_b = slice_links(cut_a, cut_b, ends_a, ends_b)
-        return a, b, cut_a, cut_b, a[links_a] << 32 | b[links_b]
+        return a, b, cut_a, cut_b, a[links_a] << 32 | b[links_b], links_a
+
+
+    def parts(self, texts: list[str | None]) -> Iterator[tuple | None]:
+        """For each text its number of tokens of both sides and of groups, its groups as text, and the pair codes of its links;
+        None where the tokens do not make it up."""
+        for at in range(0, len(texts), TEXTS_TOGETHER):
+            yield from self._parts(texts[at : at + TEXTS_TOGETHER])
+
+    def _parts(self, texts: list[str | None]) -> Iterator[tuple | None]:
+        # Words of a text, or the whole text.
+        split = [_SINGLE_BLANK.split(t) if t and self.by_word else [t] if t else [] for t in texts]
+        fresh = self._recall({w for words in split for w in words})
+        known = self._known
+        for words in split:
+            found = [known[w] if w in known else fresh[w] for w in words]
+            if not found or None in found:
+                yield None
+                continue
+            sizes, groups, codes = zip(*found)
+            n, mask = sum(sizes), (1 << _FIELD) - 1
+            yield n & mask, n >> _FIELD & mask, n >> 2 * _FIELD, ";".join(groups), np.frombuffer(b"".join(codes), np.int64)
+
+    def _recall(self, words: set[str]) -> dict[str, tuple | None]:
+        """Makes sure that the words are known; returns what was found of those that are too long for that."""
+        if len(self._known) > REMEMBERED:
+            self._known, self._older = {}, self._known
+        known, older, fresh = self._known, self._older, {}
+        new = words.difference(known)
+        kept = {w: older[w] for w in new if w in older}
+        known.update(kept)
+        # Words are joined with others of their kind, so that each text goes through the encoder that its characters allow.
+        kinds: dict[bool, list[str]] = {True: [], False: []}
+        for word in new.difference(kept):
+            if self.by_word and len(word) < LONG_WORD and "▁" not in word and _PLAIN_ENDS.match(word):
+                kinds[word.isascii() or not _UNUSUAL.search(word)].append(word)
+            else:
+                fresh |= self._learn([word])
+        for side_by_side in kinds.values():
+            held, size = [], 0
+            for word in side_by_side:
+                held.append(word)
+                size += len(word)
+                if size >= SPAN_BYTES:
+                    fresh |= self._learn(held)
+                    held, size = [], 0
+            if held:
+                fresh |= self._learn(held)
+        short = {w: f for w, f in fresh.items() if len(w) <= LONGEST}
+        known.update(short)
+        return {w: f for w, f in fresh.items() if w not in short}
+
+    def _learn(self, words: list[str]) -> dict[str, tuple | None]:
+        """Numbers of tokens and groups (as one number), groups as text and pair codes of each word, aligned side by side."""
+        text = " ".join(words)
+        aligned = self.align(text)
+        if aligned is None:
+            if len(words) == 1:
+                return {words[0]: None}
+            half = len(words) // 2
+            return self._learn(words[:half]) | self._learn(words[half:])
+        a, b, cut_a, cut_b, codes, links_a = aligned
+        stops = np.cumsum(np.array([len(w.encode()) + 1 for w in words], np.int64))
+        ends = np.cumsum(self.bytes_a.length[a])[cut_a - 1]
+        last = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[last], stops):
+            raise ValueError("a token goes on from one word to the next")
+        groups, to = groups_list(a, b, cut_a, cut_b), last + 1
+        n_a, n_b, n_groups = (np.diff(n, prepend=0).tolist() for n in (cut_a[last], cut_b[last], to))
+        # Links by the token of the first side; those of a word stand together then.
+        order = np.argsort(links_a, kind="stable")
+        raw, links_to = codes[order].tobytes(), np.searchsorted(links_a[order], cut_a[last]).tolist()
+        out, g, k = {}, 0, 0
+        for word, x, y, z, group, link in zip(words, n_a, n_b, n_groups, to.tolist(), links_to):
+            out[word] = x | y << _FIELD | z << 2 * _FIELD, ";".join(groups[g:group]), raw[8 * k : 8 * link]
+            g, k = group, link
+        return out
 
 
 class _PairNames(dict):
@@ -187,8 +283,8 @@ class _PairNames(dict):
 _PAIR_NAMES = _PairNames()
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``."""
+def groups_list(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
+    """The groups, each as ``a1,a2|b1``."""
     from_a, from_b = np.concatenate(([0], cut_a[:-1])), np.concatenate(([0], cut_b[:-1]))
     size_a, size_b = cut_a - from_a, cut_b - from_b
     # Named by their first tokens; groups of more tokens are written over that.
@@ -200,7 +296,7 @@ def groups_text(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarr
         for g, n, m in zip(np.flatnonzero(wide).tolist(), size_a[wide].tolist(), size_b[wide].tolist()):
             out[g] = ",".join(ids_a[i : i + n]) + "|" + ",".join(ids_b[j : j + m])
             i, j = i + n, j + m
-    return ";".join(out)
+    return out
 
 
 _ALIGNED = "block long, key {key}, n_a long, n_b long, n_groups long, n_links long, groups string, slots binary, counts binary, pairs binary"
@@ -213,18 +309,17 @@ def _align(path_a: str, path_b: str):
         slot_of, size = {}, 0
         for pdf in batches:
             rows = []
-            for key, raw in zip(pdf["key"], pdf["text"]):
-                text = (raw or b"").decode("utf-8", "replace")
-                found = aligner.align(text)
+            texts = [(raw or b"").decode("utf-8", "replace") for raw in pdf["text"]]
+            for key, raw, found in zip(pdf["key"], pdf["text"], aligner.parts(texts)):
                 if found is None:
                     rows.append((first + number, key, 0, 0, 0, 0, "", b"", b"", None))
                     continue
-                a, b, cut_a, cut_b, links = found
+                n_a, n_b, n_groups, groups, links = found
                 pairs, counts = np.unique(links, return_counts=True)
                 slots = np.array([slot_of.setdefault(p, len(slot_of)) for p in pairs.tolist()], np.uint32)
                 order = np.argsort(slots)
                 packed = slots[order].tobytes(), counts[order].astype(np.uint32).tobytes()
-                rows.append((first + number, key, len(a), len(b), len(cut_a), len(links), groups_text(a, b, cut_a, cut_b), *packed, None))
+                rows.append((first + number, key, n_a, n_b, n_groups, len(links), groups, *packed, None))
                 size += len(raw)
                 if size >= BLOCK_BYTES:
                     rows.append(_dictionary(first + number, slot_of))

@@ -161,6 +161,33 @@ def test_blocks_do_not_change_counts(spark, monkeypatch):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def plain_parts(parts):
+    return [None if p is None else (*p[:4], sorted(p[4].tolist())) for p in parts]
+
+
+def test_words_side_by_side_give_what_whole_texts_give(monkeypatch):
+    rnd = random.Random(12)
+    bits = ["a", "the", "é", "日本", " ", " ", "  ", "\n", " \n ", "\t", "\x1c", "\u180e", "\u2581", "\u00a0", "'s", "12", "?!", "\u0301", "<unk>", "🙂", "\x00"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25))) for _ in range(600)]
+    texts += [None, "", " ", "x" * 3000, "ab " * 900, "ab" * 1200 + " c d"]
+    whole, by_word = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    whole.by_word = False
+    assert by_word.by_word
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    monkeypatch.setattr(alignment, "TEXTS_TOGETHER", 20)
+    expected = plain_parts(whole.parts(texts))
+    assert plain_parts(by_word.parts(texts)) == expected
+    assert None in expected and len({str(e) for e in expected}) > 100
+
+
+def test_words_aligned_before_are_not_tokenized_again(monkeypatch):
+    aligner, texts = alignment.Aligner(A, B), ["some words, then others", "others then some words"]
+    found = plain_parts(aligner.parts(texts))
+    monkeypatch.setattr(aligner, "align", lambda text: pytest.fail(f"aligned again: {text}"))
+    assert plain_parts(aligner.parts(texts)) == found
+    assert plain_parts(aligner.parts(["then some words, others"]))[0][3].count(";") >= 3
+
+
 # Periodic runs.
 
 
