@@ -8,9 +8,11 @@ normaliser and the merges over every text; new words go through the tokenizers l
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 # What one Python worker remembers: at most twice so many words and so many bytes (an estimate with the cost of the
@@ -19,10 +21,19 @@ REMEMBERED = 250_000
 REMEMBERED_BYTES = 128 << 20
 LONGEST = 64
 ENTRY_BYTES = 200
-_LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
+_MARKS = ".,;:!?*$%&#"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PROBE = "A b's  don't\tÉtÉ... x1 Ünï!?\x0b<|endoftext|>y <|END, 'll z ** 12,3"
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers; for a few ids an array is faster than numpy."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class WordIds:
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
 
@@ -34,6 +45,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._model = self.tokenizer.model
         self._bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._words: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
@@ -44,7 +56,7 @@ class WordIds:
             raise ValueError(f"{path}: the ids of a text are not those of its words")
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _run(self, run: str, letters: bool) -> bytes:
         """Ids of one run of letters or of marks, which the pre-tokenizer keeps whole."""
@@ -52,14 +64,14 @@ class WordIds:
         if found is None:
             if letters:
                 mapped = run if run.isascii() else self._bytes_as_text.pre_tokenize_str(run)[0][0]
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+                found = _packed([t.id for t in self._model.tokenize(mapped)])
             else:
                 found = self._library(run)
             self._runs[run] = found
             self._bytes += ENTRY_BYTES + len(run) + len(found)
         return found
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Remembers new words; returns the ids of those that are too long for that."""
         fresh = {}
         for word in words:
@@ -67,12 +79,11 @@ class WordIds:
             if len(word) > LONGEST:
                 fresh[word] = self._library(text)
                 continue
-            plain = _LETTERS_THEN_MARKS.fullmatch(text)
-            if plain:
-                letters, marks = plain.groups()
+            letters = text.rstrip(_MARKS)
+            if letters.isascii() and letters.isalpha() or _LETTERS.fullmatch(letters):
                 ids = self._run(letters.lower(), True)
-                if marks:
-                    ids += self._run(marks, False)
+                if len(letters) < len(text):
+                    ids += self._run(text[len(letters) :], False)
             else:
                 ids = self._library(text)
             self._words[word] = ids
@@ -86,14 +97,14 @@ class WordIds:
         # Special tokens are matched before letter case is dropped.
         words = (raw if b"<|" in raw else raw.lower()).split()
         known = self._words
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = set(words).difference(known)
         if not new:
             return b"".join([known[w] for w in words])
         older = self._older
         kept = {w: older[w] for w in new if w in older}
         known.update(kept)
-        self._bytes += sum(ENTRY_BYTES + len(w) + len(ids) for w, ids in kept.items())
-        fresh = self._learn([w for w in new if w not in kept])
+        self._bytes += sum([ENTRY_BYTES + len(w) + len(ids) for w, ids in kept.items()])
+        fresh = self._learn(new.difference(kept))
         if len(known) > REMEMBERED or self._bytes > REMEMBERED_BYTES:
             self._older, self._words, self._runs, self._bytes = known, {}, {}, 0
         if fresh:

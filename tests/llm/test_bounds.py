@@ -184,3 +184,15 @@ def test_each_length_has_answers_of_its_own(spark):
         got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
         assert [v for _, v, _ in got] == expected
         assert [s for _, _, s in got] == pytest.approx([cosine[i] for i in expected])
+
+
+def test_words_are_learned_with_one_handle_of_the_model(monkeypatch):
+    ids, text = tokens.WordIds(PATH), "Plain words, ÉTÉ... naïve; ſtrange K. 12,3 it's <|endoftext|> !? ñ%%%"
+    expected = ids._library(text)
+    handle = ids.tokenizer
+
+    class WithoutModel:
+        encode = handle.encode
+
+    monkeypatch.setattr(ids, "tokenizer", WithoutModel())
+    assert ids.encode(text.encode()) == expected
