@@ -1,15 +1,18 @@
 """Model store, versioned keyed table, patience of boosted models, and replay of routed streams."""
 
 import random
+import threading
+from types import SimpleNamespace
 
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import functions as F
 
+from plantcast.catalog import models as catalog
 from plantcast.operators.boosting import best_round, fit_with_patience, in_parallel, keep_rounds
 from plantcast.plans import scoring, training
-from plantcast.plans.store import ModelStore, Versions, content_key
+from plantcast.plans.store import ModelStore, Versions, content_key, frames_content
 from plantcast.session import work_path
 from plantcast.sources import records
 from plantcast.sources.keyed_table import KeyedTable
@@ -184,3 +187,57 @@ def test_quantity_model_sees_selected_features_only_and_search_is_refitted(spark
     path = work_path(spark, "search")
     found.save(path)
     assert training.Search.load(spark, path).best == found.best
+
+
+def test_scrap_models_are_fitted_side_by_side_from_lots_that_are_made_once(spark, monkeypatch):
+    both, made, used = threading.Barrier(2), [], []
+
+    def fitted(t, name, settings, fit, content=None):
+        assert content == ["content"]
+        both.wait(30)
+        fit(name)
+        return name
+
+    def fit(rows, **overrides):
+        used.append(rows)
+        return SimpleNamespace(save=lambda path: None)
+
+    monkeypatch.setattr(catalog, "fitted", fitted)
+    monkeypatch.setattr(catalog, "tables_content", lambda t: ["content"])
+    monkeypatch.setattr(catalog, "scrap_rows", lambda t: made.append(t) or "lots")
+    monkeypatch.setattr(catalog.scrap, "encoders_from", lambda t: {})
+    monkeypatch.setattr(training, "fit_scrap_risk", fit)
+    monkeypatch.setattr(training, "fit_scrap_pct", fit)
+    monkeypatch.setattr(training.Trained, "load", lambda spark, path, kind: SimpleNamespace(model=path))
+    models = catalog.scrap_models(SimpleNamespace(spark=spark))
+    assert (models.risk, models.scrap_pct) == ("scrap-risk", "scrap-pct")
+    assert len(made) == 1 and used == ["lots", "lots"]
+
+
+def test_content_taken_once_gives_the_same_key(spark):
+    frames = {"a": spark.range(5).toDF("x"), "b": spark.createDataFrame([(None,), ("y",)], "z string")}
+    assert content_key(frames_content(frames), {"rounds": 5}) == content_key(frames, {"rounds": 5})
+
+
+def test_all_forests_and_folds_run_side_by_side_on_few_rows(spark, monkeypatch):
+    seen = []
+
+    def kept(jobs, threads=4):
+        seen.append((len(jobs), threads))
+        return in_parallel(jobs, threads)
+
+    monkeypatch.setattr(training, "in_parallel", kept)
+    rows = [(f"M-{i}", 1, "NORMAL", i % 2, float(i % 7), float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "material_no string, week_no int, scenario string, flag int, a double, b double").coalesce(1)
+    training.train_shortage(df, ["a", "b"], "flag", numTrees=2, maxDepth=2)
+    training.cross_validated_r2(df, ["a", "b"], "a", maxIter=1)
+    assert seen == [(6, 8), (5, 8)]
+
+
+def test_scrap_rows_hold_several_labels(spark):
+    rows = [(f"L{i:02d}", f"2026-01-{1 + i % 28:02d}", i % 2, float(i)) for i in range(40)]
+    lots = spark.createDataFrame(rows, "inspection_lot string, inspection_date string, target int, scrap_rate_pct double").coalesce(1)
+    both = training.scrap_rows(lots, "target", "scrap_rate_pct")
+    for label in ("target", "scrap_rate_pct"):
+        one = training.scrap_rows(lots, label)
+        assert both.select(one.columns).exceptAll(one).isEmpty() and one.count() == 40
