@@ -263,3 +263,16 @@ def best_run(runs):
 
 def sha(raw):
     return hashlib.sha256(raw).hexdigest()
+
+
+def test_texts_that_go_on_are_sorted_once_with_their_first_stretches(spark, monkeypatch):
+    from plantcast.llm import repeats
+
+    joined, texts_with = [], repeats._texts_with
+    monkeypatch.setattr(repeats, "_texts_with", lambda texts, stretches: joined.append(texts) or texts_with(texts, stretches))
+    text = " ".join(f"word{i}" for i in range(40)).encode()
+    rows = [(0, text), (1, b"other " + text), (2, b"short")]
+    table = spark.createDataFrame(rows, "row long, text binary").coalesce(1)
+    found, near = repeats.repeated_windows(table, table.select("row").where("false"), 40)
+    assert joined[0] is table and sorted(r.row for r in near.collect()) == [0, 1] and near.columns == ["row", "text"]
+    assert {r.row for r in found.collect()} == {0, 1}
