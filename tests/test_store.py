@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import functions as F
 
 from plantcast.catalog import models as catalog
-from plantcast.operators.boosting import best_round, fit_with_patience, in_parallel, keep_rounds
+from plantcast.operators.boosting import best_round, fit_with_patience, in_few_partitions, in_parallel, keep_rounds
 from plantcast.plans import scoring, training
 from plantcast.plans.store import ModelStore, Versions, content_key, frames_content
 from plantcast.session import work_path
@@ -241,3 +241,27 @@ def test_scrap_rows_hold_several_labels(spark):
     for label in ("target", "scrap_rate_pct"):
         one = training.scrap_rows(lots, label)
         assert both.select(one.columns).exceptAll(one).isEmpty() and one.count() == 40
+
+
+def test_side_by_side_fits_share_the_cores_on_few_partitions(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 400, 1, 4 * cores)
+    few = in_few_partitions(rows, 3)
+    assert -(-cores // 3) <= few.rdd.getNumPartitions() <= cores and few.count() == 400
+    assert few.agg(F.count_distinct("id")).first()[0] == 400
+    # Large partitions stay apart, few ones stay as they are.
+    assert in_few_partitions(rows, 3, most=100 // cores).rdd.getNumPartitions() == 4 * cores
+    assert in_few_partitions(spark.range(0, 400, 1, 1), 3).rdd.getNumPartitions() == 1
+    assert in_few_partitions(spark.range(0, 0, 1, 4 * cores), 3).isEmpty()
+
+
+def test_a_stored_three_target_model_is_read_without_its_rows(spark, monkeypatch):
+    data = [(float(i % 2), float(i), float(i % 5), [float(i * k % 11) for k in range(len(catalog.THREE_TARGET_FEATURES))]) for i in range(60)]
+    rows = spark.createDataFrame(data, "flag double, prob double, qty double, v array<double>").select("*", array_to_vector("v").alias("features"))
+    root, made = work_path(spark, "three"), []
+    monkeypatch.setattr(catalog, "three_target_rows", lambda t: made.append(t) or (rows.coalesce(1), list(catalog.THREE_TARGET_FEATURES)))
+    monkeypatch.setattr(catalog, "tables_content", lambda t: [[root]])
+    t = SimpleNamespace(spark=spark)
+    first = catalog.ml_feature_selection(t).collect()
+    assert len(first) == training.SELECTED_FEATURES and len(made) == 1
+    assert catalog.ml_feature_selection(t).collect() == first and len(made) == 1
