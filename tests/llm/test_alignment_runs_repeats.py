@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from plantcast.llm import alignment, periodic, repeats
 from plantcast.llm.queries import planted_period
+from plantcast.llm.shared import stored_by
 
 DOCS = "doc_id long, text string, row long, stretches string, runs int, collapsed string, removed int, kept int, key string, block int, rank int"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -276,3 +277,16 @@ def test_texts_that_go_on_are_sorted_once_with_their_first_stretches(spark, monk
     found, near = repeats.repeated_windows(table, table.select("row").where("false"), 40)
     assert joined[0] is table and sorted(r.row for r in near.collect()) == [0, 1] and near.columns == ["row", "text"]
     assert {r.row for r in found.collect()} == {0, 1}
+
+
+def test_texts_in_buckets_are_not_shuffled_again(spark):
+    texts = spark.createDataFrame([(i, b"text %d" % i) for i in range(40)], "row long, text binary")
+    table = stored_by(texts, "row", 6, "bucketed")
+    stretches = spark.createDataFrame([(i, 0, i) for i in range(0, 40, 3)], "row long, lo long, hi long")
+    beside = repeats._texts_with(table, stretches)
+    assert sorted((r.row, bytes(r.text), len(r.stretches)) for r in beside.collect()) == [(i, b"text %d" % i, 1) for i in range(0, 40, 3)]
+    plan = beside._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SelectedBucketsCount: 6 out of 6" in plan and plan.count("Exchange hashpartitioning") == 1
+    # The same buckets again cost no shuffle of the texts either.
+    near = stored_by(beside, "row", 6, "bucketed-again")
+    assert near.count() == 14 and sorted(r.row for r in near.select("row").collect()) == list(range(0, 40, 3))
